@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
 from .mixing import OP8_SQL, op8_mixing
 from .sharding import op5_sharding
 
 QUERIES = {
     "op5_sharding": op5_sharding,
     "op8_mixing": op8_mixing,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE = {
