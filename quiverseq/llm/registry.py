@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .jaccard import OP2_SQL, op2_jaccard
 from .mixing import OP8_SQL, op8_mixing
 from .sharding import op5_sharding
 
 QUERIES = {
+    "op2_jaccard": op2_jaccard,
     "op5_sharding": op5_sharding,
     "op8_mixing": op8_mixing,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE = {
+    "op2_jaccard": OP2_SQL,
     "op8_mixing": OP8_SQL,
 }
