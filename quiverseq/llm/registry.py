@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op10_bpe
 from .jaccard import OP2_SQL, op2_jaccard
+from .linededup import OP4_SQL, op4_line_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .sharding import op5_sharding
 
 QUERIES = {
     "op2_jaccard": op2_jaccard,
+    "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
     "op8_mixing": op8_mixing,
     "op10_bpe": op10_bpe,
@@ -16,5 +18,6 @@ QUERIES = {
 
 ORACLE = {
     "op2_jaccard": OP2_SQL,
+    "op4_line_dedup": OP4_SQL,
     "op8_mixing": OP8_SQL,
 }
