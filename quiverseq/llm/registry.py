@@ -7,11 +7,13 @@ from .jaccard import OP2_SQL, op2_jaccard
 from .linededup import OP4_SQL, op4_line_dedup
 from .mixing import OP8_SQL, op8_mixing
 from .sharding import op5_sharding
+from .spotsigs import op6_fingerprints
 
 QUERIES = {
     "op2_jaccard": op2_jaccard,
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
+    "op6_fingerprints": op6_fingerprints,
     "op8_mixing": op8_mixing,
     "op10_bpe": op10_bpe,
 }
