@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op10_bpe
 from .jaccard import OP2_SQL, op2_jaccard
 from .linededup import OP4_SQL, op4_line_dedup
+from .media import op7_media
 from .mixing import OP8_SQL, op8_mixing
 from .sharding import op5_sharding
 from .spotsigs import op6_fingerprints
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_fingerprints": op6_fingerprints,
+    "op7_media": op7_media,
     "op8_mixing": op8_mixing,
     "op10_bpe": op10_bpe,
 }
