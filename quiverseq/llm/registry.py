@@ -9,8 +9,10 @@ from .media import op7_media
 from .mixing import OP8_SQL, op8_mixing
 from .sharding import op5_sharding
 from .spotsigs import op6_fingerprints
+from .urlfilter import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_jaccard": op2_jaccard,
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
