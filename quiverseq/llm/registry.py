@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .hmm import op9_hmm
 from .jaccard import OP2_SQL, op2_jaccard
 from .linededup import OP4_SQL, op4_line_dedup
 from .media import op7_media
@@ -11,6 +12,15 @@ from .sharding import op5_sharding
 from .spotsigs import op6_fingerprints
 from .urlfilter import op1_url_filter
 
+
+
+def _pipeline(spark, sf_dir: str):
+    """The whole corpus pipeline at the repository's top."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_jaccard": op2_jaccard,
@@ -19,7 +29,9 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_media": op7_media,
     "op8_mixing": op8_mixing,
+    "op9_hmm": op9_hmm,
     "op10_bpe": op10_bpe,
+    "pipeline": _pipeline,
 }
 
 ORACLE = {
