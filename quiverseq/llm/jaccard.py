@@ -6,9 +6,9 @@ Candidate pairs share one of the first n - ceil(t n) + 1 n-grams of either set (
 lacks that) and pass the length and position bounds.
 
 Groups of near copies would give a number of pairs that grows with the square of the group. Components need no more
-than a spanning set of links, so every list of documents behind a shared n-gram is worked off by hubs: its best
-connected member is compared with the others; then the next members, in growing blocks, but only with those that are
-still in another component. Each pair of a list is thus either compared or already connected; no link is lost.
+than a spanning set of links, so every list of documents behind a shared n-gram is worked off by hubs: its first
+member is compared with the others; then the next members, in growing blocks, but only with those that are still in
+another component. Each pair of a list is thus either compared or already connected; no link is lost.
 
 Documents with equal sets are one class from the start. n-grams and sets are known by 64-bit hashes: for sets of a
 thousand n-grams the chance that a collision changes a pair's overlap is about 1e-13, and that two of a billion
@@ -30,8 +30,8 @@ from .textkernels import U, Words, distinct, lists, mix, row_sums, shingles, sli
 
 #: Hash buckets of the frequency sketch (2**16 longs reach driver and executors, whatever the input).
 SKETCH = 1 << 16
-#: Bits of the filter that tells which classes have a partner in some list.
-FILTER = 1 << 20
+#: Bits of the filter that tells which classes need segments; classes that pass by chance cost work, never a result.
+FILTER = 1 << 22
 FRAGMENTS = 8
 #: Hubs per round grow by this factor.
 GROWTH = 8
@@ -111,15 +111,15 @@ def _prefixes(docs: DataFrame, k: int, rank, num: int, den: int) -> DataFrame:
 
 
 def _segments(docs: DataFrame, k: int, fragment, wanted) -> DataFrame:
-    """(cls, fragment, grams) of all classes that pass the filter; each task gives a class once."""
+    """(cls, fragment, grams) of all classes that pass the filter; a class may come once from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, bits = fragment.value, np.unpackbits(wanted.value)
+        part, bits = fragment.value, wanted.value
         seen: set[int] = set()
         for batch in batches:
             for a, b, row, h, size, own in _sets(batch.column("text"), k):
                 fresh = np.zeros(b - a, bool)
-                for i in np.flatnonzero((size > 0) & (bits[own & (FILTER - 1)] > 0)):
+                for i in np.flatnonzero((size > 0) & _passes(bits, own)):
                     if own[i] not in seen:
                         fresh[i] = True
                         seen.add(int(own[i]))
@@ -132,20 +132,46 @@ def _segments(docs: DataFrame, k: int, fragment, wanted) -> DataFrame:
                 grams = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(own[cells // FRAGMENTS], pa.int64()), pa.array((cells % FRAGMENTS).astype(np.int32)), grams], ["cls", "fragment", "grams"])
 
-    return docs.select("text").mapInArrow(run, "cls long, fragment int, grams array<bigint>").dropDuplicates(["cls", "fragment"])
+    return docs.select("text").mapInArrow(run, "cls long, fragment int, grams array<bigint>")
 
 
-def _lists(prefixes: DataFrame) -> DataFrame:
-    """(gram, cls, n, pos, place): members of lists with two or more classes; place 0 is the best connected one.
+def _filter(classes: DataFrame) -> np.ndarray:
+    """A bit for each class (cls) by its hash: FILTER / 32 words reach the driver at most."""
+    at = F.col("cls").bitwiseAND(F.lit(FILTER - 1))
+    words = classes.groupBy(F.shiftright(at, 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cls & 31 as int)))").alias("bits"))
+    out = np.zeros(FILTER >> 5, np.uint32)
+    for word, bits in words.collect():
+        out[word] = bits
+    return out
 
-    A class's connectedness is the sum of its lists' lengths: an original shares more than its edited copies do.
+
+def _passes(bits: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    at = classes & (FILTER - 1)
+    return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0
+
+
+def _only(segments: DataFrame, wanted) -> DataFrame:
+    """The segments of classes that pass the filter, once each; nothing is shuffled for the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(wanted.value, batch.column("cls").to_numpy())))
+
+    return segments.mapInArrow(run, segments.schema).dropDuplicates(["cls", "fragment"])
+
+
+def _lists(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """(gram, cls, n, pos, place, size): lists of classes behind a shared n-gram, less those without a partner of like size.
+
+    place 0, the first hub, is the member that has the n-gram earliest: an original shares its rarest n-grams with its
+    edited copies, while a copy's own edits come before the n-grams that it shares. One shuffle serves both windows.
     """
     one = prefixes.dropDuplicates(["cls"])
     posted = one.select("cls", "n", F.posexplode("grams").alias("pos", "gram"))
-    shared = written(posted.withColumn("size", F.count("*").over(Window.partitionBy("gram"))).where("size > 1"), "lists")
-    ties = shared.groupBy("cls").agg(F.sum("size").alias("ties"))
-    ordered = Window.partitionBy("gram").orderBy(F.desc("ties"), "cls")
-    return written(shared.join(ties, "cls").withColumn("place", F.row_number().over(ordered) - 1).select("gram", "cls", "n", "pos", "place", "size"), "places")
+    by_size, by_place, whole = Window.partitionBy("gram").orderBy("n", "cls"), Window.partitionBy("gram").orderBy("pos", "cls"), Window.partitionBy("gram")
+    near = (F.lit(den) * F.lag("n").over(by_size) >= F.lit(num) * F.col("n")) | (F.lit(den) * F.col("n") >= F.lit(num) * F.lead("n").over(by_size))
+    paired = posted.withColumn("near", near).where("near").drop("near")
+    return paired.withColumn("place", F.row_number().over(by_place) - 1).withColumn("size", F.count("*").over(whole))
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -158,52 +184,54 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 def linked_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, cls) and roots (cls, root) of classes that have a link; t = num / den."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     profile = written(_profile(docs, k), "sets")
     rank, fragment = _order(profile)
-    rank_b, fragment_b = sc.broadcast(rank), sc.broadcast(fragment)
-    members = _lists(_prefixes(docs, k, rank_b, num, den))
+    live = written(_lists(_prefixes(docs, k, sc.broadcast(rank), num, den), num, den), "lists")
     own = profile.where("bucket is null").select("doc_id", "n", "cls")
-    bits = np.zeros(FILTER, np.uint8)
-    for (at,) in members.select(F.col("cls").bitwiseAND(F.lit(FILTER - 1)).alias("at")).distinct().collect():  # at most FILTER rows
-        bits[at] = 1
+    bits = _filter(live)
     labels = None
     if bits.any():
-        segments = written(_segments(docs, k, fragment_b, sc.broadcast(np.packbits(bits))), "segments")
-        links = None
-        longest = members.agg(F.max("size")).first()[0]
-        low, high = 0, 1
-        while low < longest - 1:
-            pairs = _pairs(members, labels, low, high, num, den)
-            if pairs is None:
-                break
-            found = _overlaps(pairs, segments).where(F.lit(den) * F.col("overlap") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("overlap")))
-            new = written(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-            links = new if links is None else links.unionByName(new)
-            if not new.isEmpty():
-                labels = written(components(links).select(F.col("node").alias("cls"), "root"), "labels")
-                links = labels.select(F.col("cls").alias("u"), F.col("root").alias("v"))
+        segments = written(_segments(docs, k, sc.broadcast(fragment), sc.broadcast(bits)), "segments")
+        links, low, high = None, 0, 1
+        while True:
+            pairs = written(_pairs(live, labels, low, high, num, den), "pairs")
+            used = _filter(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
+            if used.any():
+                found = _overlaps(pairs, _only(segments, sc.broadcast(used))).where(F.lit(den) * F.col("overlap") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("overlap")))
+                new = written(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+                if not new.isEmpty():
+                    links = new if links is None else links.unionByName(new)
+                    labels = written(components(links).select(F.col("node").alias("cls"), "root"), "labels")
+                    links = labels.select(F.col("cls").alias("u"), F.col("root").alias("v"))
             low, high = high, high * GROWTH
+            live = written(_spanning(live.where(F.col("size") > low + 1), labels), "live")
+            if live.isEmpty():
+                break
     if labels is None:
-        labels = docs.sparkSession.createDataFrame([], "cls long, root long")
+        labels = spark.createDataFrame([], "cls long, root long")
     return own, labels
 
 
-def _pairs(members: DataFrame, labels: DataFrame | None, low: int, high: int, num: int, den: int) -> DataFrame | None:
-    """Pairs of hubs (places low to high - 1) and later members in other components; None if no list spans two."""
+def _labelled(live: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        live = members.withColumn("comp", F.col("cls"))
-    else:
-        known = members.join(labels, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-        spans = known.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
-        live = known.join(spans, "gram")
-    live = live.where(F.col("size") > low + 1)
-    if labels is not None:
-        live = written(live, "live")
-        if live.isEmpty():
-            return None
-    hub = live.where(F.col("place").between(low, high - 1)).select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("place").alias("ka"))
-    other = live.select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("place").alias("kb"))
+        return live.withColumn("comp", F.col("cls"))
+    return live.join(labels, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+
+
+def _spanning(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The lists that still span two components."""
+    whole = Window.partitionBy("gram")
+    known = _labelled(live, labels).withColumns({"lo": F.min("comp").over(whole), "hi": F.max("comp").over(whole)})
+    return known.where("lo < hi").drop("lo", "hi", "comp")
+
+
+def _pairs(live: DataFrame, labels: DataFrame | None, low: int, high: int, num: int, den: int) -> DataFrame:
+    """Distinct pairs of hubs (places low to high - 1) and later members in other components that may reach t."""
+    known = _labelled(live, labels)
+    hub = known.where(F.col("place").between(low, high - 1)).select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("place").alias("ka"))
+    other = known.where(F.col("place") > low).select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("place").alias("kb"))
     most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     able = (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")) & (F.lit(den + num) * most >= F.lit(num) * (F.col("na") + F.col("nb")))
     joined = hub.join(other, "gram").where((F.col("kb") > F.col("ka")) & (F.col("ca") != F.col("cb")) & able)
