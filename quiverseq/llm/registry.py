@@ -8,6 +8,7 @@ from .jaccard import OP2_SQL, op2_jaccard
 from .linededup import OP4_SQL, op4_line_dedup
 from .media import op7_media
 from .mixing import OP8_SQL, op8_mixing
+from .quality import op3_quality
 from .sharding import op5_sharding
 from .spotsigs import op6_fingerprints
 from .urlfilter import op1_url_filter
@@ -24,6 +25,7 @@ def _pipeline(spark, sf_dir: str):
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_jaccard": op2_jaccard,
+    "op3_quality": op3_quality,
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_fingerprints": op6_fingerprints,
