@@ -32,7 +32,7 @@ HEAD, STATES, WINDOW, ROUNDS = 1 << 15, 8, 64, 2
 LONG, CHUNK = 4096, 256
 #: Windows of the sample that breaks the symmetry, and iterations on it.
 SEED_DOCS, SEED_WINDOWS, SEED_ROUNDS = 600, 6_000, 25
-#: Pseudo-tokens of unigram mass in each state's emissions.
+#: Pseudo-tokens of unigram mass in each state's emissions, besides one for each symbol that the state emits.
 PRIOR = 20.0
 
 
@@ -156,9 +156,9 @@ class Hmm:
     rest: np.ndarray
 
     def reestimated(self, first: np.ndarray, pairs: np.ndarray, seen: np.ndarray, unigram: np.ndarray) -> Hmm:
-        """The maximisation step; every probability stays positive by a little prior mass."""
+        """The maximisation step; every probability stays positive by prior mass, in emissions after Witten and Bell."""
         k = len(self.start)
-        emit = seen + PRIOR * unigram[:, None]
+        emit = seen + (PRIOR + (seen > 0.5).sum(axis=0)) * unigram[:, None]
         start, move = first + 1.0, pairs + 0.1 + np.eye(k)
         rest = seen.sum(axis=0) + 1.0
         return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), rest / rest.sum())
