@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiverseq.llm import bpe, jaccard, linededup, mixing, quality
-from quiverseq.llm.common import table, word_count, written
+from quiverseq.llm.common import boxed, table, unboxed, word_count, written
 
 #: SQL has no counterpart of a fitted classifier, so the run is tested stage by stage against brute force.
 ORACLE_SQL = None
@@ -25,8 +25,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes cross-site boilerplate lines out of all but one document; every document stays, n_chars follows its text."""
-    out = linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    used = ["doc_id", "text", "source"]
+    out = linededup.dedup_lines(boxed(docs, used))
+    length = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[length if c == "n_chars" else x for c, x in zip(docs.columns, unboxed(out, docs.columns, used))])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +37,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Equal rows count once. Documents without words form no groups and stay.
     """
     found = jaccard.near_components(docs.select("doc_id", "text"))
-    keep = written(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept")).distinct(), "kept")
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    keep = written(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources reach their target weights; a document taken twice comes twice."""
-    sized = docs.withColumn("size", word_count())
-    mixed = mixing.systematic_copies(sized, mixing.source_targets(sized))
-    return mixed.where("n_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select(*docs.columns)
+    used = ["doc_id", "text", "source"]
+    sized = boxed(docs, used).withColumn("size", word_count())
+    mixed = mixing.systematic_copies(sized, mixing.source_targets(sized)).where("n_copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select(*unboxed(mixed, docs.columns, used))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,17 @@ def drop_written(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def boxed(docs: DataFrame, used: list[str]) -> DataFrame:
+    """The columns used, and all others in one struct, so that names of working columns clash with none of them."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(*(rest or [F.lit(True)])).alias("_rest"))
+
+
+def unboxed(df: DataFrame, columns: list[str], used: list[str]) -> list:
+    """Expressions that restore the given columns from boxed rows."""
+    return [F.col(c) if c in used else F.col("_rest").getField(c).alias(c) for c in columns]
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

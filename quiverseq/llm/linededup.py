@@ -12,11 +12,13 @@ Extra columns pass through; n_lines and n_removed replace columns of these names
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
-from .common import WORD, table, written
+from .common import WORD, boxed, table, unboxed, written
 
 #: A sketch of 2**12 registers has a relative standard error of about 1.6 %; three of them on either side are near.
 LG_K, NEAR = 12, 0.05
@@ -43,15 +45,15 @@ def boilerplate(lines: DataFrame, min_sites: int = 8) -> DataFrame:
     return sure.unionByName(near.join(exact, ["h", "g"]).where(F.col("exact") >= min_sites).select("h", "g", "keeper"))
 
 
-@pandas_udf("string")
-def _without(texts, lost):
+@pandas_udf(StringType())
+def _without(texts: pd.Series, lost: pd.Series) -> pd.Series:
     out = []
     for text, places in zip(texts, lost):
         if text is not None and places is not None and len(places):
             gone = set(places.tolist())
             text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
         out.append(text)
-    return type(texts)(out, dtype=object)
+    return pd.Series(out, dtype=object)
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 8) -> DataFrame:
@@ -60,10 +62,11 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 8) -> Da
     bad = written(boilerplate(lines, min_sites), "boilerplate")
     lost = lines.join(bad, ["h", "g"]).where("doc_id > keeper or (doc_id is null and keeper is not null)")
     per = lost.select("key", "pos").distinct().groupBy("key").agg(F.collect_list("pos").alias("lost"))
-    right = per.select(F.col("key").alias("_key"), F.col("lost").alias("_lost"))
-    joined = docs.withColumn("_key", _key()).join(right, "_key", "left")
-    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"), "n_removed": F.coalesce(F.size("_lost"), F.lit(0)).cast("long")}
-    return joined.withColumns(counts).withColumn("text", _without("text", "_lost")).drop("_key", "_lost")
+    used = ["doc_id", "text"]
+    joined = boxed(docs, used).withColumn("_key", _key()).join(per, F.col("_key") == F.col("key"), "left")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    counted = joined.withColumns({"n_lines": n_lines, "n_removed": F.coalesce(F.size("lost"), F.lit(0)).cast("long")}).withColumn("text", _without("text", "lost"))
+    return counted.select(*unboxed(counted, [c for c in docs.columns if c not in ("n_lines", "n_removed")], used), "n_lines", "n_removed")
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
