@@ -1,6 +1,6 @@
 """Interleaved document sequences: HTML becomes an ordered list of text and media references, resolved by digest.
 
-Media are stored once per digest, as 8-bit grey PNG images of 576 samples a row, in a table of the shared folder. HTML
+Media are stored by digest, once per task, as 8-bit grey PNG images of 576 samples a row, in a table of the shared folder. HTML
 is parsed into one struct per piece, in document order: position, kind (text or media), text, digest, caption. What is
 known of a payload is computed once per digest from the bytes read back from the store, and joined to the references
 by digest; positions and captions stay with their references. Copies thus cost one stored payload, and a digest that
@@ -157,9 +157,10 @@ def sequences(pages: DataFrame, html: str = "html", out: str = "pieces") -> Data
 
 
 def store(media: DataFrame) -> DataFrame:
-    """(digest, media) of rows (digest, data): each payload once, padded and encoded, in a table that is read back.
+    """(digest, media) of rows (digest, data): payloads padded and encoded, in a table that is read back.
 
-    Copies are dropped within each task first, then across tasks by digest.
+    A task stores a payload once however often it meets it, and no payload is shuffled; another task may store it
+    again, under the same digest with the same bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +176,11 @@ def store(media: DataFrame) -> DataFrame:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(images, pa.binary())], ["digest", "media"])
 
-    return written(media.select("digest", "data").mapInArrow(run, "digest string, media binary").dropDuplicates(["digest"]), "media")
+    return written(media.select("digest", "data").mapInArrow(run, "digest string, media binary"), "media")
 
 
 def described(media: DataFrame) -> DataFrame:
-    """What the stored bytes say, per digest: FEATURES."""
+    """What the stored bytes say, once per digest: FEATURES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +194,7 @@ def described(media: DataFrame) -> DataFrame:
             kinds = [pa.int64() if f.endswith("long") else pa.string() for f in FEATURES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return media.mapInArrow(run, FEATURES)
+    return media.mapInArrow(run, FEATURES).dropDuplicates(["digest"])
 
 
 def resolved(pages: DataFrame, features: DataFrame, key: str) -> DataFrame:
