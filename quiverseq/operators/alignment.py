@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .kernels import end_point
+from .kernels import end_point, span, window_scores, windows
 
 
 @dataclass(frozen=True)
@@ -130,12 +130,21 @@ class Alignment:
 
 def align(query: np.ndarray, sequence: np.ndarray, s: Scoring, hinted: bool = True) -> Alignment:
     """The best local alignment; the score must be positive. An end in the first row or column is looked up unhinted."""
-    score, q_end, d_end = end_point(query, sequence, s.scores, s.gap_open, s.gap_extend, hinted)
+    reach = span(len(query), int(s.scores.max()), s.gap_open, s.gap_extend)
+    cuts = windows(len(sequence), reach)
+    low, high = 0, len(sequence)
+    if hinted and len(cuts) > 1:
+        # The first window that reaches the score holds the least column that does: later windows begin later.
+        low, high = cuts[int(window_scores(query, sequence, cuts, s.scores, s.gap_open, s.gap_extend).argmax())]
+    score, q_end, d_end = end_point(query, sequence[low:high], s.scores, s.gap_open, s.gap_extend, hinted)
+    d_end += low
     if hinted and score > 0 and (q_end == 0 or d_end == 0):
         score, q_end, d_end = end_point(query, sequence, s.scores, s.gap_open, s.gap_extend, False)
     if score < 1:
         raise ValueError("there is no alignment with a positive score")
-    q_start, d_start = start_point(query, sequence, q_end, d_end, score, s)
+    base = max(0, d_end + 1 - reach) if reach else 0
+    q_start, d_start = start_point(query, sequence[base : d_end + 1], q_end, d_end - base, score, s)
+    d_start += base
     ops = edit_script(query[q_start : q_end + 1], sequence[d_start : d_end + 1], s)
     return Alignment(score, q_start, q_end, d_start, d_end, ops)
 

@@ -28,7 +28,7 @@ def span(query: int, most: int, gap_open: int, gap_extend: int) -> int | None:
 
 def windows(length: int, reach: int | None) -> list[tuple[int, int]]:
     """(start, end) of windows so that every stretch of reach positions lies in one of them."""
-    size = max(WINDOW, 2 * reach) if reach else length
+    size = max(WINDOW, 8 * reach) if reach else length
     if length <= size or not reach:
         return [(0, length)]
     step = size - reach
@@ -101,6 +101,12 @@ def batch_scores(queries: list[np.ndarray], sequences: list[np.ndarray], scores:
     return out
 
 
+def window_scores(query: np.ndarray, sequence: np.ndarray, cuts: list[tuple[int, int]], scores: np.ndarray, gap_open: int, gap_extend: int) -> np.ndarray:
+    """Best local score of the query within each window of one sequence."""
+    out = batch_scores([query], [sequence[low:high] for low, high in cuts], scores, gap_open, gap_extend)
+    return out[0]
+
+
 def _columns(query: np.ndarray, sequence: np.ndarray, scores: np.ndarray, gap_open: int, gap_extend: int):
     """The matrix H column by column (database positions), for one pair."""
     m = len(query)

@@ -131,9 +131,18 @@ def alignment_lines(search: Search, titles: DataFrame, width: int = 60) -> DataF
         a_line = F.translate(a_line, "+", " ")
     cut = lambda line, i: F.substring(line, i * width + 1, F.lit(width))
     letters = lambda line, n: F.length(F.replace(F.substring(line, F.lit(1), n), F.lit("-"), F.lit("")))
+
+    def place(side: str, i):
+        """Position of a block's first residue on the sequence as given."""
+        at = F.col(f"{side}_start") + letters(F.col(f"{side}_line"), i * width)
+        minus, whole, frame = F.col(f"{side}strand") == 1, F.col(f"{side}_nt"), F.col(f"{side}frame")
+        if o.program in (("blastx", "tblastx") if side == "q" else ("tblastn", "tblastx")):
+            return F.when(minus, whole - 3 * at - frame).otherwise(3 * at + frame + 1)
+        return F.when(minus, whole - at).otherwise(at + 1) if side == "d" and o.program == "blastn" else at + 1
+
     blocks = F.transform(
         F.sequence(F.lit(0), F.floor((F.col("aligned") - 1) / width).cast("int")),
-        lambda i: F.array(F.concat(F.lit("Query: "), F.rpad((F.col("q_start") + 1 + letters(F.col("q_line"), i * width)).cast("string"), 8, " "), cut(F.col("q_line"), i)), F.concat(F.lit(" " * 15), cut(a_line, i)), F.concat(F.lit("Sbjct: "), F.rpad((F.col("d_start") + 1 + letters(F.col("d_line"), i * width)).cast("string"), 8, " "), cut(F.col("d_line"), i)), F.lit("")),
+        lambda i: F.array(F.concat(F.lit("Query: "), F.rpad(place("q", i).cast("string"), 8, " "), cut(F.col("q_line"), i)), F.concat(F.lit(" " * 15), cut(a_line, i)), F.concat(F.lit("Sbjct: "), F.rpad(place("d", i).cast("string"), 8, " "), cut(F.col("d_line"), i)), F.lit("")),
     )
     lines = F.concat(F.array(F.concat(F.lit(">"), F.col("subject_id")), score, F.concat(*counts), F.lit("")), F.flatten(blocks))
     return rows.select("qno", "rn", F.posexplode(lines).alias("line_no", "line"))
