@@ -42,42 +42,62 @@ def score_type(query: int, longest: int, scores: np.ndarray, gap_open: int, gap_
     return np.int16 if peak < 32000 else np.int32 if peak < 2_000_000_000 else np.int64
 
 
-def tile_scores(query: np.ndarray, table: np.ndarray, lengths: np.ndarray, scores: np.ndarray, gap_open: int, gap_extend: int) -> np.ndarray:
-    """Best local score of the query against each lane; table is (positions, lanes) codes, lengths descend."""
-    m, lanes = len(query), table.shape[1]
+def tile_scores(queries: list[np.ndarray], table: np.ndarray, lengths: np.ndarray, scores: np.ndarray, gap_open: int, gap_extend: int) -> np.ndarray:
+    """(queries, lanes) best local scores; table is (positions, lanes) codes, lengths descend.
+
+    Queries of one tile are padded to the longest at their ends. Padding scores too low for any diagonal, and values
+    only pass from a query position to later ones, so it changes no score.
+    """
+    m, count, lanes = max(map(len, queries)), len(queries), table.shape[1]
     if not m or not lanes or not lengths[0]:
-        return np.zeros(lanes, np.int64)
+        return np.zeros((count, lanes), np.int64)
     kind = score_type(m, int(lengths[0]), scores, gap_open, gap_extend)
-    profile = np.ascontiguousarray(scores[:, query].T.astype(kind))  # query positions x database codes
-    ramp = (np.arange(m) * gap_extend).astype(kind)[:, None]
+    profile = np.full((m, count, scores.shape[0]), int(scores.min()), kind)  # query positions x queries x database codes
+    for i, query in enumerate(queries):
+        profile[: len(query), i] = scores[:, query].T
+        profile[len(query) :, i] = -min(32000 // 2, int(scores.max()) * m + 1)
+    ramp = (np.arange(m) * gap_extend).astype(kind)[:, None, None]
     down = ramp + kind(gap_open)
     q, r = kind(gap_open + gap_extend), kind(gap_extend)
-    h, e, best = np.zeros((m, lanes), kind), np.zeros((m, lanes), kind), np.zeros(lanes, kind)
-    t, f = np.empty((m, lanes), kind), np.empty((m, lanes), kind)
-    active, position = lanes, 0
+    best = np.zeros((count, lanes), kind)
+    h = e = t = f = None
+    position = 0
     ends = np.unique(lengths)
     for end in ends[ends > 0]:
         active = int(np.searchsorted(-lengths, -end, "right"))
-        hh, ee, bb = h[:, :active], e[:, :active], best[:active]
-        tt, ff = t[:, :active], f[:, :active]
+        # Arrays shrink with the lanes, so that they stay contiguous.
+        h, e = (np.zeros((m, count, active), kind) if x is None else np.ascontiguousarray(x[:, :, :active]) for x in (h, e))
+        t, f = np.empty_like(h), np.empty_like(h)
+        top = best[:, :active]
         for j in range(position, int(end)):
-            np.take(profile, table[j, :active], axis=1, out=tt, mode="clip")
-            tt[1:] += hh[:-1]
-            np.maximum(tt, ee, out=tt)
-            np.maximum(tt, 0, out=tt)
-            np.add(tt, ramp, out=ff)
-            np.maximum.accumulate(ff, axis=0, out=ff)
-            ff[:-1] -= down[1:]
-            np.maximum(tt[1:], ff[:-1], out=hh[1:])
-            hh[0] = tt[0]
-            np.maximum(bb, hh.max(axis=0), out=bb)
-            ee -= r
-            np.subtract(hh, q, out=tt)
-            np.maximum(ee, tt, out=ee)
+            np.take(profile, table[j, :active], axis=2, out=t, mode="clip")
+            t[1:] += h[:-1]
+            np.maximum(t, e, out=t)
+            np.maximum(t, 0, out=t)
+            np.add(t, ramp, out=f)
+            np.maximum.accumulate(f, axis=0, out=f)
+            f[:-1] -= down[1:]
+            np.maximum(t[1:], f[:-1], out=h[1:])
+            h[0] = t[0]
+            np.maximum(top, h.max(axis=0), out=top)
+            e -= r
+            np.subtract(h, q, out=t)
+            np.maximum(e, t, out=e)
         position = int(end)
     return best.astype(np.int64)
 
 
+def _groups(queries: list[np.ndarray], most: int = 192) -> list[list[int]]:
+    """Queries of like length, so many that their rows in a tile stay near most."""
+    out: list[list[int]] = []
+    for i in sorted(range(len(queries)), key=lambda i: -len(queries[i])):
+        if out and len(queries[out[-1][0]]) * (len(out[-1]) + 1) <= most and 4 * len(queries[i]) >= 3 * len(queries[out[-1][0]]):
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
 def batch_scores(queries: list[np.ndarray], sequences: list[np.ndarray], scores: np.ndarray, gap_open: int, gap_extend: int) -> np.ndarray:
     """(queries, sequences) best local scores, exact."""
     out = np.zeros((len(queries), len(sequences)), np.int64)
@@ -86,6 +106,7 @@ def batch_scores(queries: list[np.ndarray], sequences: list[np.ndarray], scores:
     reach = span(max(map(len, queries)), int(scores.max()), gap_open, gap_extend)
     cuts = [(i, low, high) for i, s in enumerate(sequences) for low, high in windows(len(s), reach)]
     cuts.sort(key=lambda c: c[1] - c[2])
+    groups = _groups(queries)
     at = 0
     while at < len(cuts):
         longest = max(cuts[at][2] - cuts[at][1], 1)
@@ -96,8 +117,10 @@ def batch_scores(queries: list[np.ndarray], sequences: list[np.ndarray], scores:
         table = np.zeros((longest, len(part)), np.intp if longest * len(part) < 1 << 20 else np.uint8)
         for lane, (i, low, high) in enumerate(part):
             table[: high - low, lane] = sequences[i][low:high]
-        for row, query in enumerate(queries):
-            np.maximum.at(out[row], owner, tile_scores(query, table, lengths, scores, gap_open, gap_extend))
+        for group in groups:
+            found = tile_scores([queries[g] for g in group], table, lengths, scores, gap_open, gap_extend)
+            for g, row in zip(group, found):
+                np.maximum.at(out[g], owner, row)
     return out
 
 

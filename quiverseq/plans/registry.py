@@ -245,9 +245,9 @@ def _reported(make, **options):
 def _translated_search(program: str):
     def query(spark, sf_dir):
         o = Options(program=program, expect=1e9, descriptions=10, alignments=5)
-        db = _sequences(spark, sf_dir, "nation", "n_nationkey", "n_name", o.db_kind)
+        db = _sequences(spark, sf_dir, "part", "p_partkey", "p_name", o.db_kind)
         found = Search(_queries(spark, sf_dir, "benchmark", "item_id", "text", o.query_kind), db, o)
-        return report.tsv(found, _nation_titles(spark, sf_dir))
+        return report.tsv(found, _part_titles(spark, sf_dir))
 
     return query
 
