@@ -18,10 +18,12 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import table
+from .textkernels import slices, text_bytes
 
 #: Characters of a leaf and ids of a decoding leaf; texts up to a leaf need no join.
 LEAF = 1 << 14
@@ -92,30 +94,31 @@ def decode_tree(ids: list[int], decode, leaf: int = LEAF) -> bytes:
     return b"".join(node(0, len(ids)))
 
 
-def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds a column of token ids (array<int>); null text gives an empty list."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.functions import pandas_udf
+def coded(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFrame:
+    """The columns to keep of every row, with ids (array<int>), n_tokens, and round_trip: whether the ids decode to the text.
 
-    @pandas_udf("array<int>")
-    def ids(texts):
-        encode = encoding(path, pattern).encode_ordinary
-        return texts.map(lambda t: encode_tree(t or "", encode))
-
-    return docs.withColumn(out, ids(F.col(text)))
-
-
-def decode_column(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the bytes (binary) that the ids stand for; null ids give no bytes."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("binary")
-    def decoded(lists):
-        decode = encoding(path, pattern).decode_bytes
-        return lists.map(lambda x: decode_tree(list(x) if x is not None else [], decode))
+    Encoding and decoding run in one pass over slices of a few megabytes of text, so a worker holds the ids of a slice
+    only. Null text gives empty ids.
+    """
 
-    return rows.withColumn(out, decoded(F.col(ids)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoding(path, pattern)
+        for batch in batches:
+            _, offsets = text_bytes(batch.column("text"))
+            for a, b in slices(offsets, 1 << 21):
+                part = batch.slice(a, b - a)
+                ids, same = [], []
+                for text in part.column("text"):
+                    text = text.as_py() or ""
+                    own = encode_tree(text, coder.encode_ordinary)
+                    same.append(decode_tree(own, coder.decode_bytes) == text.encode())
+                    ids.append(np.array(own, np.int32))
+                edges = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+                column = pa.ListArray.from_arrays(edges, pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), column, pa.array(list(map(len, ids)), pa.int64()), pa.array(same)], [*keep, "ids", "n_tokens", "round_trip"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return docs.select(*keep, "text").mapInArrow(run, f"{kept}, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
