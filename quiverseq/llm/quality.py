@@ -29,7 +29,7 @@ from .textkernels import U, Words, distinct, slices, text_bytes
 DIM = 1 << 16
 SHAPES, CLASSES = 32, 8
 DENSE = SHAPES + 2 * CLASSES
-PER_GRADE = 2_000
+PER_GRADE = 6_000
 STEPS, L2, RATE = 250, 2e-4, 0.05
 
 UPPER, DIGIT, PUNCT = (np.zeros(256, np.int64) for _ in range(3))
@@ -78,10 +78,10 @@ class CumulativeLink:
         return np.bincount(row, weights=self.weights[slot], minlength=len(dense)) + dense @ self.weights[DIM:]
 
 
-def fit(row: np.ndarray, slot: np.ndarray, dense: np.ndarray, grade: np.ndarray, share: np.ndarray, least_rows: int = 3) -> CumulativeLink:
+def fit(row: np.ndarray, slot: np.ndarray, dense: np.ndarray, grade: np.ndarray, share: np.ndarray) -> CumulativeLink:
     """Maximum penalised likelihood by Adam on the full sample; share is each row's weight. Rare words get no weight."""
     grades = int(grade.max()) + 1
-    common = np.bincount(slot, minlength=DIM) >= least_rows
+    common = np.bincount(slot, minlength=DIM) >= max(3, len(dense) // 900)
     row, slot = row[common[slot]], slot[common[slot]]
     share = share / share.sum()
     w, base = np.zeros(DIM + DENSE), np.zeros(grades - 1)
