@@ -87,8 +87,8 @@ def tile_scores(queries: list[np.ndarray], table: np.ndarray, lengths: np.ndarra
     return best.astype(np.int64)
 
 
-def _groups(queries: list[np.ndarray], most: int = 192) -> list[list[int]]:
-    """Queries of like length, so many that their rows in a tile stay near most."""
+def _groups(queries: list[np.ndarray], most: int) -> list[list[int]]:
+    """Queries of like length, so many that their rows in a tile stay within most."""
     out: list[list[int]] = []
     for i in sorted(range(len(queries)), key=lambda i: -len(queries[i])):
         if out and len(queries[out[-1][0]]) * (len(out[-1]) + 1) <= most and 4 * len(queries[i]) >= 3 * len(queries[out[-1][0]]):
@@ -106,7 +106,6 @@ def batch_scores(queries: list[np.ndarray], sequences: list[np.ndarray], scores:
     reach = span(max(map(len, queries)), int(scores.max()), gap_open, gap_extend)
     cuts = [(i, low, high) for i, s in enumerate(sequences) for low, high in windows(len(s), reach)]
     cuts.sort(key=lambda c: c[1] - c[2])
-    groups = _groups(queries)
     at = 0
     while at < len(cuts):
         longest = max(cuts[at][2] - cuts[at][1], 1)
@@ -117,7 +116,9 @@ def batch_scores(queries: list[np.ndarray], sequences: list[np.ndarray], scores:
         table = np.zeros((longest, len(part)), np.intp if longest * len(part) < 1 << 20 else np.uint8)
         for lane, (i, low, high) in enumerate(part):
             table[: high - low, lane] = sequences[i][low:high]
-        for group in groups:
+        # Where few lanes are active for long, more queries side by side make up for them.
+        busy = max(1, int(lengths.sum()) // longest)
+        for group in _groups(queries, 192 * max(1, LANES // busy)):
             found = tile_scores([queries[g] for g in group], table, lengths, scores, gap_open, gap_extend)
             for g, row in zip(group, found):
                 np.maximum.at(out[g], owner, row)
