@@ -3,7 +3,8 @@
 All n-grams have one global order, rare ones first. The order is cut into fragments; a document's set falls apart into
 one segment per fragment; overlaps are counted fragment by fragment and summed per pair, so no task holds whole sets.
 Candidate pairs share one of the first n - ceil(t n) + 1 n-grams of either set (no pair at or above the threshold t
-lacks that) and pass the length and position bounds.
+lacks that), pass the length and position bounds, and have parity bitmaps that differ in few enough bits; each of these
+tests is one that every pair at or above the threshold passes.
 
 Groups of near copies would give a number of pairs that grows with the square of the group. Components need no more
 than a spanning set of links, so every list of documents behind a shared n-gram is worked off by hubs: its first
@@ -32,6 +33,8 @@ from .textkernels import U, Words, distinct, lists, mix, row_sums, shingles, sli
 SKETCH = 1 << 16
 #: Bits of the filter that tells which classes need segments; classes that pass by chance cost work, never a result.
 FILTER = 1 << 22
+#: Bits of the parity bitmap of a set: toggled once per n-gram, so two bitmaps differ in no more bits than two sets in n-grams.
+PARITY = 1024
 FRAGMENTS = 8
 #: Hubs per round grow by this factor.
 GROWTH = 8
@@ -47,23 +50,33 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield a, b, row, h, size, own.view(np.int64)
 
 
+def _parity(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, PARITY / 64) words of the sets' parity bitmaps."""
+    bits = np.bincount(row * PARITY + ((h >> U(20)) & U(PARITY - 1)).astype(np.int64), minlength=rows * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(rows, PARITY), axis=1).view(np.int64)
+
+
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, n, cls) of documents, and rows (bucket, n) with each task's sketch counts."""
+    """Rows (doc_id, n, cls, parity) of documents, and rows (bucket, n) with each task's sketch counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            sizes, classes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, _, _, h, size, own in _sets(batch.column("text"), k):
+            sizes, classes, parities = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, PARITY // 64), np.int64)]
+            for a, b, row, h, size, own in _sets(batch.column("text"), k):
                 counts += np.bincount((h & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
                 sizes.append(size)
                 classes.append(own)
-            n, cls = np.concatenate(sizes), np.concatenate(classes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.nulls(len(n), pa.int32()), pa.array(n, pa.int64()), pa.array(cls, pa.int64(), mask=n == 0)], ["doc_id", "bucket", "n", "cls"])
+                parities.append(_parity(row, h, b - a))
+            n, cls, parity = np.concatenate(sizes), np.concatenate(classes), np.concatenate(parities)
+            edges = pa.array(np.arange(len(n) + 1, dtype=np.int32) * (PARITY // 64))
+            columns = [batch.column("doc_id"), pa.nulls(len(n), pa.int32()), pa.array(n, pa.int64()), pa.array(cls, pa.int64(), mask=n == 0), pa.ListArray.from_arrays(edges, pa.array(parity.ravel()))]
+            yield pa.RecordBatch.from_arrays(columns, names)
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(counts[used], pa.int64()), pa.nulls(len(used), pa.int64())], ["doc_id", "bucket", "n", "cls"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(counts[used], pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.list_(pa.int64()))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, bucket int, n long, cls long")
+    names = ["doc_id", "bucket", "n", "cls", "parity"]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, bucket int, n long, cls long, parity array<bigint>")
 
 
 def _order(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -193,10 +206,11 @@ def linked_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     bits = _filter(live)
     labels = None
     if bits.any():
+        parity = written(profile.where("cls is not null").select("cls", "parity").join(live.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "parity")
         segments = written(_segments(docs, k, sc.broadcast(fragment), sc.broadcast(bits)), "segments")
         links, low, high = None, 0, 1
         while True:
-            pairs = written(_pairs(live, labels, low, high, num, den), "pairs")
+            pairs = written(_near_enough(_pairs(live, labels, low, high, num, den), parity, num, den), "pairs")
             used = _filter(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
             if used.any():
                 found = _overlaps(pairs, _only(segments, sc.broadcast(used))).where(F.lit(den) * F.col("overlap") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("overlap")))
@@ -227,6 +241,14 @@ def _spanning(live: DataFrame, labels: DataFrame | None) -> DataFrame:
     return known.where("lo < hi").drop("lo", "hi", "comp")
 
 
+def _near_enough(pairs: DataFrame, parity: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose parity bitmaps differ in no more bits than the sets may in n-grams; no pair at or above t is lost."""
+    left, right = parity.select(F.col("cls").alias("a"), F.col("parity").alias("ba")), parity.select(F.col("cls").alias("b"), F.col("parity").alias("bb"))
+    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    met = pairs.join(left, "a").join(right, "b")
+    return met.where(F.lit(den + num) * apart <= F.lit(den - num) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+
+
 def _pairs(live: DataFrame, labels: DataFrame | None, low: int, high: int, num: int, den: int) -> DataFrame:
     """Distinct pairs of hubs (places low to high - 1) and later members in other components that may reach t."""
     known = _labelled(live, labels)
