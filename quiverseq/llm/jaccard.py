@@ -1,6 +1,8 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All n-grams have one global order, rare ones first. The order is cut into fragments; a document's set falls apart into
+All n-grams have one global order: by level (how far a hash bucket's count stands out from the noise of a frequency
+sketch, so what many documents share comes last), then by rarity (the sum of its words' log frequencies), then by
+hash. An n-gram's code is level, rarity and 46 hash bits, so codes sort in that order. The order is cut into fragments; a document's set falls apart into
 one segment per fragment; overlaps are counted fragment by fragment and summed per pair, so no task holds whole sets.
 Candidate pairs share one of the first n - ceil(t n) + 1 n-grams of either set (no pair at or above the threshold t
 lacks that), pass the length and position bounds, and have parity bitmaps that differ in few enough bits; each of these
@@ -11,14 +13,15 @@ than a spanning set of links, so every list of documents behind a shared n-gram
 member is compared with the others; then the next members, in growing blocks, but only with those that are still in
 another component. Each pair of a list is thus either compared or already connected; no link is lost.
 
-Documents with equal sets are one class from the start. n-grams and sets are known by 64-bit hashes: for sets of a
-thousand n-grams the chance that a collision changes a pair's overlap is about 1e-13, and that two of a billion
-different sets count as equal about 0.03.
+Documents with equal sets are one class from the start. n-grams are known by 46 hash bits besides their words' rarity,
+sets by 64: for sets of a thousand n-grams the chance that a collision changes a pair's overlap is under 1e-7, and that
+any two of a billion different sets count as equal about 0.03.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +39,41 @@ FILTER = 1 << 22
 #: Bits of the parity bitmap of a set: toggled once per n-gram, so two bitmaps differ in no more bits than two sets in n-grams.
 PARITY = 1024
 FRAGMENTS = 8
+#: Hash bits of a code.
+HASH = U((1 << 46) - 1)
 #: Hubs per round grow by this factor.
 GROWTH = 8
 
 
-def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of rows: first row, rows, row and hash of the distinct n-grams, size and class of each row's set."""
+@dataclass
+class Order:
+    """What fixes the global order: level per n-gram bucket, log frequency per word bucket, first codes of fragments 1, 2, ..."""
+
+    level: np.ndarray
+    word: np.ndarray
+    cuts: np.ndarray
+
+
+def _sets(column: pa.Array, k: int, order: Order | None = None) -> Iterator[tuple]:
+    """For slices of rows: first and end row, row and code of the distinct n-grams (ascending), size and class of each set.
+
+    Without an order the codes are bare hashes. Then the words' hashes come last in the tuple, else None.
+    """
     data, offsets = text_bytes(column)
     for a, b in slices(offsets):
-        row, h = distinct(*shingles(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), k))
+        words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        row, h, rarity = shingles(words, k, order.word[_bucket(words.hash)] if order else None)
+        code = h & HASH
+        if order:
+            code |= (order.level[_bucket(code)].astype(U) << U(56)) | (np.minimum(rarity, 1023).astype(U) << U(46))
+        row, code = distinct(row, code)
         size = np.bincount(row, minlength=b - a)
-        own = mix(row_sums(row, mix(h ^ U(0x5851F42D4C957F2D)), b - a) ^ mix(size.astype(U)))
-        yield a, b, row, h, size, own.view(np.int64)
+        own = mix(row_sums(row, mix((code & HASH) ^ U(0x5851F42D4C957F2D)), b - a) ^ mix(size.astype(U)))
+        yield a, b, row, code, size, own.view(np.int64), None if order else words.hash
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h & U(SKETCH - 1)).astype(np.int64)
 
 
 def _parity(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
@@ -60,11 +86,12 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
     """Rows (doc_id, n, cls, parity) of documents, and rows (bucket, n) with each task's sketch counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(2 * SKETCH, np.int64)  # of n-grams, then of words
         for batch in batches:
             sizes, classes, parities = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, PARITY // 64), np.int64)]
-            for a, b, row, h, size, own in _sets(batch.column("text"), k):
-                counts += np.bincount((h & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            for a, b, row, h, size, own, words in _sets(batch.column("text"), k):
+                counts[:SKETCH] += np.bincount(_bucket(h), minlength=SKETCH)
+                counts[SKETCH:] += np.bincount(_bucket(words), minlength=SKETCH)
                 sizes.append(size)
                 classes.append(own)
                 parities.append(_parity(row, h, b - a))
@@ -79,28 +106,33 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, bucket int, n long, cls long, parity array<bigint>")
 
 
-def _order(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of each bucket in the global order (by count), and its fragment (of about equal counts each)."""
-    counts = np.zeros(SKETCH, np.int64)
-    for bucket, n in profile.where("bucket is not null").groupBy("bucket").agg(F.sum("n")).collect():  # at most SKETCH rows
+def _order(profile: DataFrame, k: int) -> Order:
+    """The global order from the sketches; fragments of about equal shares, as far as words are independent."""
+    counts = np.zeros(2 * SKETCH, np.int64)
+    for bucket, n in profile.where("bucket is not null").groupBy("bucket").agg(F.sum("n")).collect():  # at most 2 SKETCH rows
         counts[bucket] = n
-    by = np.argsort(counts, kind="stable")
-    rank = np.empty(SKETCH, np.uint16)
-    rank[by] = np.arange(SKETCH)
-    reached = np.cumsum(counts[by])
-    fragment = np.empty(SKETCH, np.uint8)
-    fragment[by] = np.minimum(reached * FRAGMENTS // max(int(reached[-1]), 1), FRAGMENTS - 1)
-    return rank, fragment
-
-
-def _prefixes(docs: DataFrame, k: int, rank, num: int, den: int) -> DataFrame:
+    grams, words = counts[:SKETCH], counts[SKETCH:]
+    noise = np.median(grams) + 4 * np.sqrt(np.median(grams) + 1)
+    level = np.where(grams > noise, 1 + np.log2(np.maximum(grams - noise, 1)), 0).astype(np.uint8)
+    word = (8 * np.log2(words + 1.0)).astype(np.int64)
+    share = np.bincount(word, weights=words.astype(float)) / max(int(words.sum()), 1)
+    rarity = share
+    for _ in range(k - 1):
+        rarity = np.convolve(rarity, share)
+    rarity = np.append(rarity[:1023], rarity[1023:].sum()) if len(rarity) > 1024 else np.pad(rarity, (0, 1024 - len(rarity)))
+    at_level = np.bincount(level, weights=grams.astype(float), minlength=256)
+    reached = np.cumsum((at_level[:, None] * rarity[None, :]).ravel())
+    places = np.searchsorted(reached, reached[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS, "right")
+    return Order(level, word, places.astype(U) << U(46))
+
+
+def _prefixes(docs: DataFrame, k: int, order, num: int, den: int) -> DataFrame:
     """(cls, n, grams): the first n - ceil(t n) + 1 n-grams in the global order; one row per class and task at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = rank.value
         seen: set[int] = set()
         for batch in batches:
-            for a, b, row, h, size, own in _sets(batch.column("text"), k):
+            for a, b, row, code, size, own, _ in _sets(batch.column("text"), k, order.value):
                 fresh = np.zeros(b - a, bool)
                 for i in np.flatnonzero(size):
                     if own[i] not in seen:
@@ -109,40 +141,33 @@ def _prefixes(docs: DataFrame, k: int, rank, num: int, den: int) -> DataFrame:
                 if len(seen) > 1 << 18:
                     seen.clear()
                 need = np.where(fresh, size + (-num * size) // den + 1, 0)
-                keep = fresh[row]
-                row, h = row[keep], h[keep]
-                key = (order[(h & U(SKETCH - 1)).astype(np.int64)].astype(U) << U(48)) | (h >> U(16))
-                by = np.lexsort((key, row))
-                row, h = row[by], h[by]
                 place = np.arange(len(row)) - np.searchsorted(row, row)
                 first = place < need[row]
                 rows = np.flatnonzero(fresh)
                 at = np.searchsorted(rows, row[first])
-                yield pa.RecordBatch.from_arrays([pa.array(own[rows], pa.int64()), pa.array(size[rows], pa.int64()), lists(h[first].view(np.int64), at, len(rows), pa.int64())], ["cls", "n", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[rows], pa.int64()), pa.array(size[rows], pa.int64()), lists(code[first].view(np.int64), at, len(rows), pa.int64())], ["cls", "n", "grams"])
 
     return docs.select("text").mapInArrow(run, "cls long, n long, grams array<bigint>")
 
 
-def _segments(docs: DataFrame, k: int, fragment, wanted) -> DataFrame:
+def _segments(docs: DataFrame, k: int, order, wanted) -> DataFrame:
     """(cls, fragment, grams) of all classes that pass the filter; a class may come once from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, bits = fragment.value, wanted.value
+        bits = wanted.value
         seen: set[int] = set()
         for batch in batches:
-            for a, b, row, h, size, own in _sets(batch.column("text"), k):
+            for a, b, row, code, size, own, _ in _sets(batch.column("text"), k, order.value):
                 fresh = np.zeros(b - a, bool)
                 for i in np.flatnonzero((size > 0) & _passes(bits, own)):
                     if own[i] not in seen:
                         fresh[i] = True
                         seen.add(int(own[i]))
                 keep = fresh[row]
-                row, h = row[keep], h[keep]
-                at = row * FRAGMENTS + part[(h & U(SKETCH - 1)).astype(np.int64)]
-                by = np.argsort(at, kind="stable")
-                at, h = at[by], h[by]
+                row, code = row[keep], code[keep]
+                at = row * FRAGMENTS + np.searchsorted(order.value.cuts, code, "right")
                 cells, first = np.unique(at, return_index=True)
-                grams = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(h.view(np.int64)))
+                grams = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(code.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(own[cells // FRAGMENTS], pa.int64()), pa.array((cells % FRAGMENTS).astype(np.int32)), grams], ["cls", "fragment", "grams"])
 
     return docs.select("text").mapInArrow(run, "cls long, fragment int, grams array<bigint>")
@@ -200,17 +225,17 @@ def linked_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     spark = docs.sparkSession
     sc = spark.sparkContext
     profile = written(_profile(docs, k), "sets")
-    rank, fragment = _order(profile)
-    live = written(_lists(_prefixes(docs, k, sc.broadcast(rank), num, den), num, den), "lists")
+    order = sc.broadcast(_order(profile, k))
+    live = written(_lists(_prefixes(docs, k, order, num, den), num, den).withColumn("comp", F.col("cls")), "lists")
     own = profile.where("bucket is null").select("doc_id", "n", "cls")
     bits = _filter(live)
     labels = None
     if bits.any():
         parity = written(profile.where("cls is not null").select("cls", "parity").join(live.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "parity")
-        segments = written(_segments(docs, k, sc.broadcast(fragment), sc.broadcast(bits)), "segments")
+        segments = written(_segments(docs, k, order, sc.broadcast(bits)), "segments")
         links, low, high = None, 0, 1
         while True:
-            pairs = written(_near_enough(_pairs(live, labels, low, high, num, den), parity, num, den), "pairs")
+            pairs = written(_near_enough(_pairs(live, low, high, num, den), parity, num, den), "pairs")
             used = _filter(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
             if used.any():
                 found = _overlaps(pairs, _only(segments, sc.broadcast(used))).where(F.lit(den) * F.col("overlap") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("overlap")))
@@ -228,17 +253,13 @@ def linked_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     return own, labels
 
 
-def _labelled(live: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return live.withColumn("comp", F.col("cls"))
-    return live.join(labels, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-
-
 def _spanning(live: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The lists that still span two components."""
+    """The lists that still span two components, each member with its component."""
+    if labels is not None:
+        live = live.drop("comp").join(labels, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
     whole = Window.partitionBy("gram")
-    known = _labelled(live, labels).withColumns({"lo": F.min("comp").over(whole), "hi": F.max("comp").over(whole)})
-    return known.where("lo < hi").drop("lo", "hi", "comp")
+    spread = live.withColumns({"lo": F.min("comp").over(whole), "hi": F.max("comp").over(whole)})
+    return spread.where("lo < hi").drop("lo", "hi")
 
 
 def _near_enough(pairs: DataFrame, parity: DataFrame, num: int, den: int) -> DataFrame:
@@ -249,11 +270,10 @@ def _near_enough(pairs: DataFrame, parity: DataFrame, num: int, den: int) -> Dat
     return met.where(F.lit(den + num) * apart <= F.lit(den - num) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
 
-def _pairs(live: DataFrame, labels: DataFrame | None, low: int, high: int, num: int, den: int) -> DataFrame:
+def _pairs(live: DataFrame, low: int, high: int, num: int, den: int) -> DataFrame:
     """Distinct pairs of hubs (places low to high - 1) and later members in other components that may reach t."""
-    known = _labelled(live, labels)
-    hub = known.where(F.col("place").between(low, high - 1)).select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("place").alias("ka"))
-    other = known.where(F.col("place") > low).select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("place").alias("kb"))
+    hub = live.where(F.col("place").between(low, high - 1)).select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("place").alias("ka"))
+    other = live.where(F.col("place") > low).select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("place").alias("kb"))
     most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     able = (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")) & (F.lit(den + num) * most >= F.lit(num) * (F.col("na") + F.col("nb")))
     joined = hub.join(other, "gram").where((F.col("kb") > F.col("ka")) & (F.col("ca") != F.col("cb")) & able)
