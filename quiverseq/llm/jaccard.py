@@ -20,8 +20,10 @@ any two of a billion different sets count as equal about 0.03.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ FRAGMENTS = 8
 HASH = U((1 << 46) - 1)
 #: Hubs per round grow by this factor.
 GROWTH = 8
+NEIGHBOURS = 3
 
 
 @dataclass
@@ -54,15 +57,16 @@ class Order:
     cuts: np.ndarray
 
 
-def _sets(column: pa.Array, k: int, order: Order | None = None) -> Iterator[tuple]:
+def _sets(column: pa.Array, cut: Callable, order: Order | None = None) -> Iterator[tuple]:
     """For slices of rows: first and end row, row and code of the distinct n-grams (ascending), size and class of each set.
 
-    Without an order the codes are bare hashes. Then the words' hashes come last in the tuple, else None.
+    cut makes (row, hash, weight) of the n-grams of Words. Without an order the codes are bare hashes, and the words'
+    hashes come last in the tuple, else None.
     """
     data, offsets = text_bytes(column)
     for a, b in slices(offsets):
         words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        row, h, rarity = shingles(words, k, order.word[_bucket(words.hash)] if order else None)
+        row, h, rarity = cut(words, weights=order.word[_bucket(words.hash)] if order else None)
         code = h & HASH
         if order:
             code |= (order.level[_bucket(code)].astype(U) << U(56)) | (np.minimum(rarity, 1023).astype(U) << U(46))
@@ -82,14 +86,14 @@ def _parity(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8).reshape(rows, PARITY), axis=1).view(np.int64)
 
 
-def _profile(docs: DataFrame, k: int) -> DataFrame:
+def _profile(docs: DataFrame, cut: Callable) -> DataFrame:
     """Rows (doc_id, n, cls, parity) of documents, and rows (bucket, n) with each task's sketch counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2 * SKETCH, np.int64)  # of n-grams, then of words
         for batch in batches:
             sizes, classes, parities = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, PARITY // 64), np.int64)]
-            for a, b, row, h, size, own, words in _sets(batch.column("text"), k):
+            for a, b, row, h, size, own, words in _sets(batch.column("text"), cut):
                 counts[:SKETCH] += np.bincount(_bucket(h), minlength=SKETCH)
                 counts[SKETCH:] += np.bincount(_bucket(words), minlength=SKETCH)
                 sizes.append(size)
@@ -126,13 +130,13 @@ def _order(profile: DataFrame, k: int) -> Order:
     return Order(level, word, places.astype(U) << U(46))
 
 
-def _prefixes(docs: DataFrame, k: int, order, num: int, den: int) -> DataFrame:
+def _prefixes(docs: DataFrame, cut: Callable, order, num: int, den: int) -> DataFrame:
     """(cls, n, grams): the first n - ceil(t n) + 1 n-grams in the global order; one row per class and task at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for a, b, row, code, size, own, _ in _sets(batch.column("text"), k, order.value):
+            for a, b, row, code, size, own, _ in _sets(batch.column("text"), cut, order.value):
                 fresh = np.zeros(b - a, bool)
                 for i in np.flatnonzero(size):
                     if own[i] not in seen:
@@ -150,14 +154,14 @@ def _prefixes(docs: DataFrame, k: int, order, num: int, den: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cls long, n long, grams array<bigint>")
 
 
-def _segments(docs: DataFrame, k: int, order, wanted) -> DataFrame:
+def _segments(docs: DataFrame, cut: Callable, order, wanted) -> DataFrame:
     """(cls, fragment, grams) of all classes that pass the filter; a class may come once from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         seen: set[int] = set()
         for batch in batches:
-            for a, b, row, code, size, own, _ in _sets(batch.column("text"), k, order.value):
+            for a, b, row, code, size, own, _ in _sets(batch.column("text"), cut, order.value):
                 fresh = np.zeros(b - a, bool)
                 for i in np.flatnonzero((size > 0) & _passes(bits, own)):
                     if own[i] not in seen:
@@ -188,14 +192,24 @@ def _passes(bits: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0
 
 
-def _only(segments: DataFrame, wanted) -> DataFrame:
-    """The segments of classes that pass the filter, once each; nothing is shuffled for the others."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+
+
+def _passing(rows: DataFrame, wanted) -> DataFrame:
+    """The rows whose class passes the filter; nothing is shuffled for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_passes(wanted.value, batch.column("cls").to_numpy())))
 
-    return segments.mapInArrow(run, segments.schema).dropDuplicates(["cls", "fragment"])
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _able(na, pa_, nb, pb, num: int, den: int):
+    """Whether sets of na and nb n-grams, the first common one at places pa_ and pb, may reach t."""
+    most = F.least(na - pa_, nb - pb)
+    return (F.lit(den) * F.least(na, nb) >= F.lit(num) * F.greatest(na, nb)) & (F.lit(den + num) * most >= F.lit(num) * (na + nb))
 
 
 def _lists(prefixes: DataFrame, num: int, den: int) -> DataFrame:
@@ -208,7 +222,11 @@ def _lists(prefixes: DataFrame, num: int, den: int) -> DataFrame:
     posted = one.select("cls", "n", F.posexplode("grams").alias("pos", "gram"))
     by_size, by_place, whole = Window.partitionBy("gram").orderBy("n", "cls"), Window.partitionBy("gram").orderBy("pos", "cls"), Window.partitionBy("gram")
     near = (F.lit(den) * F.lag("n").over(by_size) >= F.lit(num) * F.col("n")) | (F.lit(den) * F.col("n") >= F.lit(num) * F.lead("n").over(by_size))
-    paired = posted.withColumn("near", near).where("near").drop("near")
+    # In lists of up to 1 + NEIGHBOURS members the neighbours by size are all there are, so the whole test is exact.
+    around = [(step("n", i).over(by_size), step("pos", i).over(by_size)) for step in (F.lag, F.lead) for i in range(1, NEIGHBOURS + 1)]
+    able = reduce(lambda x, y: x | y, [F.coalesce(_able(F.col("n"), F.col("pos"), n, pos, num, den), F.lit(False)) for n, pos in around])
+    tested = posted.withColumns({"near": near, "able": able, "size": F.count("*").over(whole)})
+    paired = tested.where(F.when(F.col("size") <= 1 + NEIGHBOURS, F.col("able")).otherwise(F.col("near"))).drop("near", "able", "size")
     return paired.withColumn("place", F.row_number().over(by_place) - 1).withColumn("size", F.count("*").over(whole))
 
 
@@ -220,25 +238,30 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
 
 
-def linked_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n, cls) and roots (cls, root) of classes that have a link; t = num / den."""
+def linked_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, cut: Callable | None = None, by_length: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, n, cls) and roots (cls, root) of classes that have a link; t = num / den.
+
+    cut replaces the k-word shingles by other n-grams of about k words.
+    """
+    cut = cut or partial(shingles, k=k)
     spark = docs.sparkSession
     sc = spark.sparkContext
-    profile = written(_profile(docs, k), "sets")
+    profile = written(_profile(docs, cut), "sets")
     order = sc.broadcast(_order(profile, k))
-    live = written(_lists(_prefixes(docs, k, order, num, den), num, den).withColumn("comp", F.col("cls")), "lists")
+    live = written(_lists(_prefixes(docs, cut, order, num, den), num, den).withColumn("comp", F.col("cls")), "lists")
     own = profile.where("bucket is null").select("doc_id", "n", "cls")
     bits = _filter(live)
     labels = None
     if bits.any():
-        parity = written(profile.where("cls is not null").select("cls", "parity").join(live.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "parity")
-        segments = written(_segments(docs, k, order, sc.broadcast(bits)), "segments")
+        parity = written(_passing(profile.where("cls is not null").select("cls", "parity"), sc.broadcast(bits)).dropDuplicates(["cls"]), "parity")
+        segments = written(_segments(docs, cut, order, sc.broadcast(bits)), "segments")
         links, low, high = None, 0, 1
         while True:
-            pairs = written(_near_enough(_pairs(live, low, high, num, den), parity, num, den), "pairs")
-            used = _filter(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
+            met = written(_pairs(live, low, high, num, den, by_length), "met")
+            pairs = written(_near_enough(met, _passing(parity, sc.broadcast(_filter(_ends(met)))), num, den), "pairs")
+            used = _filter(_ends(pairs))
             if used.any():
-                found = _overlaps(pairs, _only(segments, sc.broadcast(used))).where(F.lit(den) * F.col("overlap") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("overlap")))
+                found = _overlaps(pairs, _passing(segments, sc.broadcast(used)).dropDuplicates(["cls", "fragment"])).where(F.lit(den) * F.col("overlap") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("overlap")))
                 new = written(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
                 if not new.isEmpty():
                     links = new if links is None else links.unionByName(new)
@@ -270,26 +293,32 @@ def _near_enough(pairs: DataFrame, parity: DataFrame, num: int, den: int) -> Dat
     return met.where(F.lit(den + num) * apart <= F.lit(den - num) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
 
-def _pairs(live: DataFrame, low: int, high: int, num: int, den: int) -> DataFrame:
-    """Distinct pairs of hubs (places low to high - 1) and later members in other components that may reach t."""
-    hub = live.where(F.col("place").between(low, high - 1)).select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("place").alias("ka"))
-    other = live.where(F.col("place") > low).select("gram", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("place").alias("kb"))
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    able = (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")) & (F.lit(den + num) * most >= F.lit(num) * (F.col("na") + F.col("nb")))
-    joined = hub.join(other, "gram").where((F.col("kb") > F.col("ka")) & (F.col("ca") != F.col("cb")) & able)
+def _pairs(live: DataFrame, low: int, high: int, num: int, den: int, by_length: bool = False) -> DataFrame:
+    """Distinct pairs of hubs (places low to high - 1) and later members in other components that may reach t.
+
+    by_length also partitions lists by set length: sets at t or more lie in the same or in neighbouring bands of n, the
+    bounds of which grow by a little more than 1 / t.
+    """
+    width = -1.001 * math.log(num / den) if num < den else 1.0
+    bands = F.floor(F.log("n") / F.lit(width)).cast("int") if by_length else F.lit(0)
+    live = live.withColumn("band", bands)
+    hub = live.where(F.col("place").between(low, high - 1)).select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("place").alias("ka"), (F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)) if by_length else F.col("band")).alias("band"))
+    other = live.where(F.col("place") > low).select("gram", "band", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("place").alias("kb"))
+    able = _able(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den)
+    joined = hub.join(other, ["gram", "band"] if by_length else "gram").where((F.col("kb") > F.col("ka")) & (F.col("ca") != F.col("cb")) & able)
     swap = F.col("a") > F.col("b")
     one_way = joined.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))])
     return one_way.distinct()
 
 
-def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, cut: Callable | None = None, by_length: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included).
 
     docs has doc_id and text. Two documents link when den x intersection >= num x union of their k-word shingle sets; a
     text of fewer words has its whole sequence as one shingle. Null or empty texts have size 0 and no links. Repeated
     rows come back once each. A null doc_id stays null unless linked.
     """
-    own, roots = linked_classes(docs, k, num, den)
+    own, roots = linked_classes(docs, k, num, den, cut, by_length)
     classes = own.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

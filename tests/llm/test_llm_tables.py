@@ -193,3 +193,35 @@ def test_damaged_media_are_noticed():
     image[-20] ^= 1
     with pytest.raises((ValueError, zlib.error)):
         media.from_png(bytes(image))
+
+
+@pytest.mark.parametrize("num", [60, 80])
+def test_spotsigs_near_duplicates_against_brute_force(spark, num):
+    from test_llm_text import brute_signatures
+
+    rng = random.Random(num)
+    content = [f"w{i}" for i in range(60)]
+    base = [[w for _ in range(rng.randint(5, 25)) for w in (rng.choice("ab"), *rng.sample(content, rng.randint(1, 3)))] for _ in range(8)]
+    docs = []
+    for i in range(90):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = rng.choice(content)
+        docs.append((i, " ".join(words) if i % 15 else rng.choice(["", None, "w1 w2"])))
+    from quiverseq.llm.textkernels import Words, text_bytes
+
+    anchors = Words(*text_bytes(__import__("pyarrow").array(["a b"]))).hash.view("int64").tolist()
+    sets = {i: brute_signatures(t or "", {"a", "b"}) for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in sets:
+        for b in sets:
+            same = len(sets[a] & sets[b])
+            if a < b and same and 100 * same >= num * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    rows = spotsigs.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), anchors, num=num).collect()
+    assert {r["doc_id"]: (r["n_signatures"], r["component_id"]) for r in rows} == {i: (len(sets[i]), find(i)) for i in sets}
