@@ -31,7 +31,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0] if len(column) else np.zeros(1, np.int64)
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes, or one row if that alone is longer."""
     start, n = 0, len(offsets) - 1
     while start < n:
