@@ -6,8 +6,11 @@ text's signatures, 32 bits each, is its fingerprint. Sets are compared by Jaccar
 sets whose lengths fall into bands further apart than neighbours, or whose lengths alone rule the threshold out, are
 not merged at all.
 
-A text without any full anchor but with words has one signature, of its whole word sequence. Null, empty and blank
-texts have the empty fingerprint; two empty ones are alike (1), an empty and another are not (0). Near the end of a text
+A stretch of FREE words or more in which no word begins a chain (texts of small languages or with marks stuck to their
+words, whose words are none of the corpus's most frequent) has a signature at each of its places instead: of the word
+there and the next ones, as many as in a chain. So every FREE words in sequence give a signature of their own, and an
+edit changes signatures near it alone. A shorter text without any full anchor but with words has one signature, of its
+whole word sequence. Null, empty and blank texts have the empty fingerprint; two empty ones are alike (1), an empty and another are not (0). Near the end of a text
 a chain may be shorter.
 """
 
@@ -29,6 +32,8 @@ from .textkernels import U, Words, distinct, mix, row_sums, slices, text_bytes
 
 BUCKETS = 1 << 16
 ANCHORS, CHAIN = 64, 2
+#: Words without the start of a chain from which on a stretch has signatures of its own.
+FREE = 15
 LOWEST = -(1 << 63)
 
 
@@ -83,7 +88,7 @@ def common_words(docs: DataFrame, n: int = ANCHORS) -> list[tuple[int, str, int]
 
 
 def chains(words: Words, anchors: np.ndarray, chain: int = CHAIN, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, weight), in row order, of each anchor with the content words that follow it.
+    """(row, hash, weight), in row order, of each anchor with the content words that follow it, and of free stretches.
 
     anchors is the sorted array of anchor word hashes; weight is the sum of the words' weights.
     """
@@ -102,6 +107,15 @@ def chains(words: Words, anchors: np.ndarray, chain: int = CHAIN, weights: np.nd
         w = w + np.where(inside, weight_of[follow], 0)
         some |= inside
     row, h, w = words.row[spot][some], h[some], w[some]
+    free = _free(words, spot[some], chain)
+    if len(free):
+        own, all_ = np.zeros(len(free), U), np.zeros(len(free), np.int64)
+        for j in range(chain + 1):
+            own = mix(own + words.hash[free + j] + U(j + 1))
+            all_ += weights[free + j]
+        row, h, w = np.concatenate([row, words.row[free]]), np.concatenate([h, own]), np.concatenate([w, all_])
+        order = np.argsort(row, kind="stable")
+        row, h, w = row[order], h[order], w[order]
     bare = np.flatnonzero((words.counts > 0) & (np.bincount(row, minlength=words.rows) == 0))
     if len(bare):
         place = np.arange(n) - words.firsts[words.row]
@@ -112,6 +126,23 @@ def chains(words: Words, anchors: np.ndarray, chain: int = CHAIN, weights: np.nd
     return row, h, w
 
 
+def _free(words: Words, begins: np.ndarray, chain: int) -> np.ndarray:
+    """Places of words that begin a run of chain + 1 words within a stretch of FREE words or more, none of which is in begins."""
+    n = len(words.hash)
+    breaks = np.zeros(n + 1, bool)
+    breaks[words.firsts] = True
+    apart = np.zeros(n, bool)
+    apart[begins] = True
+    # A stretch is what lies between two chain starts or row edges; a chain start is a stretch of one word.
+    breaks[:-1] |= apart
+    breaks[begins + 1] = True
+    edge = np.flatnonzero(breaks)
+    size = np.diff(edge)
+    wide = size >= max(FREE, chain + 1)
+    first, runs = edge[:-1][wide], size[wide] - chain
+    return np.repeat(first - np.append(0, np.cumsum(runs)[:-1]), runs) + np.arange(runs.sum())
+
+
 def signatures(column: pa.Array, anchors: np.ndarray, chain: int = CHAIN) -> list[np.ndarray]:
     """Per row the sorted distinct 32-bit signatures; anchors is the sorted array of anchor word hashes."""
     data, offsets = text_bytes(column)

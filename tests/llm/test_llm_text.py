@@ -235,3 +235,40 @@ def test_signatures_against_brute_force():
             assert len(got) == len(brute_signatures(text, anchors))
     x, y = spotsigs.signatures(pa.array(["a c d b e f a g h", "a c d b e f a x y"]), hashes)
     assert spotsigs.likeness(x, y) == pytest.approx(0.5) and spotsigs.likeness(x, y, 0.6) == 0
+
+
+def free_signatures(text, anchors, chain=spotsigs.CHAIN, least=15):
+    """brute_signatures, and those of stretches without the start of a chain."""
+    words = WORD.findall(lowered(text))
+    out, stretch = set(), []
+    for i, w in enumerate([*words, None]):
+        follow = [x for x in words[i + 1 :] if x not in anchors][:chain]
+        if w is None or w in anchors and follow:
+            out |= {tuple(stretch[j : j + chain + 1]) for j in range(len(stretch) - chain)} if len(stretch) >= least else set()
+            out |= {(w, *follow)} if w else set()
+            stretch = []
+        else:
+            stretch.append(w)
+    return out or ({tuple(words)} if words else set())
+
+
+def test_texts_without_anchors_have_local_signatures():
+    rng = random.Random(8)
+    hashes = np.sort(Words(*text_bytes(pa.array(["a b"]))).hash)
+    for _ in range(60):
+        kinds = [rng.choice([["c", "d", "é"], ["a", "b"], ["w%d" % i for i in range(30)]]) for _ in range(rng.randint(0, 4))]
+        texts = [" ".join(rng.choice(k) for k in kinds for _ in range(rng.choice([1, 3, 14, 15, 16, 40]))) for _ in range(4)] + [None, ""]
+        for text, got in zip(texts, spotsigs.signatures(pa.array(texts), hashes)):
+            assert len(got) == len(free_signatures(text or "", {"a", "b"}))
+    for words in (["w%d" % i for i in range(200)], ["w%d%%%%" % i for i in range(200)], ["a", "b"] * 3 + ["w%d" % i for i in range(200)], ["a" if i * i % 7 == 2 else "b" for i in range(200)]):
+        near = [*words[:100], "x", *words[101:]]
+        x, y = spotsigs.signatures(pa.array([" ".join(words), " ".join(near)]), hashes)
+        assert spotsigs.likeness(x, y) > 0.6
+
+
+def test_near_copies_without_anchors_are_linked(spark):
+    texts = [" ".join(f"{kind}{i}" for i in range(100)) for kind in "uv"]
+    docs = [(0, texts[0]), (1, texts[0].replace("u50", "x")), (2, texts[1]), (3, texts[1].replace("v99", "%%%"))]
+    anchors = Words(*text_bytes(pa.array(["a b"]))).hash.view(np.int64).tolist()
+    rows = spotsigs.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), anchors).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {0: 0, 1: 0, 2: 2, 3: 2}
