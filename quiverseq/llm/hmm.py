@@ -6,8 +6,8 @@ and then drawn by its own count among tail words, so the model covers any text a
 a task whole: they are joined to the texts' tail words by word.
 
 Baum-Welch runs over all training texts, cut into windows; each task adds up expected counts, Spark sums them by
-symbol, and the driver sees HEAD + a few rows per iteration. It starts from a model fitted on a bounded sample of
-windows, which only breaks the symmetry of the states: the counts of the last iterations come from all training texts.
+symbol, and the driver sees HEAD + a few rows per iteration. It starts from a random model and ends when the training
+likelihood has settled; every iteration counts all training texts.
 Scores are exact for whole texts: texts up to LONG tokens run side by side, longer ones as products of the transfer
 matrices of their chunks, which is the same recursion regrouped.
 
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .textkernels import U, Words, lists, slices, text_bytes
 
-HEAD, STATES, WINDOW, ROUNDS = 1 << 15, 8, 64, 2
+HEAD, STATES, WINDOW = 1 << 15, 8, 64
 LONG, CHUNK = 4096, 256
-#: Windows of the sample that breaks the symmetry, and iterations on it.
-SEED_DOCS, SEED_WINDOWS, SEED_ROUNDS = 600, 6_000, 25
+#: Training has settled when two iterations in a row gain less than so many nats a token.
+SETTLED = 1e-4
 #: Pseudo-tokens of unigram mass in each state's emissions, besides one for each symbol that the state emits.
 PRIOR = 20.0
 
@@ -187,45 +187,54 @@ def windows(syms: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
 def expected(model: Hmm, rows: np.ndarray, leads: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Forward-backward over windows: expected first states, moves, emissions (size x K), and the log-likelihood."""
     k = len(model.start)
-    move = model.move.astype(np.float32)
+    move, one = model.move.astype(np.float32), np.ones((k, 1), np.float32)
+    back = np.ascontiguousarray(move.T)
     emit = np.vstack([model.emit, np.ones((1, k))]).astype(np.float32)  # padding says nothing
     first, pairs, seen, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((size + 1, k)), 0.0
-    for low in range(0, len(rows), 4096):
-        sym, lead = np.ascontiguousarray(rows[low : low + 4096].T), leads[low : low + 4096]
+    for low in range(0, len(rows), 1024):
+        sym, lead = np.ascontiguousarray(rows[low : low + 1024].T), leads[low : low + 1024]
         steps, lanes = sym.shape
-        alpha, scale = np.empty((steps, lanes, k), np.float32), np.empty((steps, lanes), np.float32)
-        now = np.where(lead[:, None], model.start, model.rest).astype(np.float32)
+        said = emit.take(sym.ravel(), axis=0).reshape(steps, lanes, k)
+        alpha, scale = np.empty((steps, lanes, k), np.float32), np.empty((steps, lanes, 1), np.float32)
+        alpha[0] = np.where(lead[:, None], model.start, model.rest)
         for t in range(steps):
-            now = (now @ move if t else now) * emit[sym[t]]
-            scale[t] = now.sum(axis=1)
-            now /= scale[t][:, None]
-            alpha[t] = now
-        likelihood += float(np.log(scale).sum())
+            now = np.matmul(alpha[t - 1], move, out=alpha[t]) if t else alpha[0]
+            now *= said[t]
+            now /= np.matmul(now, one, out=scale[t])
+        likelihood += float(np.log(scale).sum(dtype=float))
+        said /= scale
+        inside = sym < size
+        whole = inside.all()
         beta = np.ones((lanes, k), np.float32)
         for t in range(steps - 2, -1, -1):
-            ahead = beta * emit[sym[t + 1]] / scale[t + 1][:, None]
-            pairs += (alpha[t].T @ (ahead * (sym[t + 1] < size)[:, None])) * move
-            beta = ahead @ move.T
+            ahead = np.multiply(beta, said[t + 1], out=said[t + 1])
+            pairs += (alpha[t].T @ (ahead if whole else ahead * inside[t + 1][:, None])) * move
+            np.matmul(ahead, back, out=beta)
             alpha[t] *= beta
         first += alpha[0][lead].sum(axis=0)
-        flat = sym.ravel()
+        flat, by_state = sym.ravel(), alpha.reshape(-1, k).T.astype(float, order="C")
         for state in range(k):
-            seen[:, state] += np.bincount(flat, weights=alpha[:, :, state].ravel(), minlength=size + 1)
+            seen[:, state] += np.bincount(flat, weights=by_state[state], minlength=size + 1)
     return first, pairs, seen[:size], likelihood
 
 
-def _counts_over(encoded: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One expectation step over all training rows: (first, moves, emissions), summed by Spark per symbol."""
+def _counts_over(encoded: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """One expectation step over all training rows: (first, moves, emissions, log-likelihood), summed by Spark per symbol.
+
+    Two tasks a core at most, so that what is summed grows with the cluster and not with the input.
+    """
     k = len(model.start)
-    shared = encoded.sparkSession.sparkContext.broadcast(model)  # size x K numbers, size <= HEAD + 2
+    sc = encoded.sparkSession.sparkContext
+    shared = sc.broadcast(model)  # size x K numbers, size <= HEAD + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, pairs, seen = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
+        first, pairs, seen, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), np.zeros(k)
         held, weight = [], 0
 
         def add() -> None:
-            f, p, s, _ = expected(shared.value, *windows(held, size), size)
+            f, p, s, value = expected(shared.value, *windows(held, size), size)
             np.add(first, f, out=first), np.add(pairs, p, out=pairs), np.add(seen, s, out=seen)
+            likelihood[0] += value
 
         for batch in batches:
             for value in batch.column("syms"):
@@ -237,41 +246,36 @@ def _counts_over(encoded: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray,
         if held:
             add()
         used = np.flatnonzero(seen.sum(axis=1) > 0)
-        keys = np.concatenate([used, [-1], -2 - np.arange(k)]).astype(np.int32)
-        values = np.vstack([seen[used], first[None], pairs])
+        keys = np.concatenate([used, [-1], -2 - np.arange(k + 1)]).astype(np.int32)
+        values = np.vstack([seen[used], first[None], pairs, likelihood[None]])
         yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(values[:, i]) for i in range(k)]], ["sym", *[f"s{i}" for i in range(k)]])
 
-    rows = encoded.where("not held_out").select("syms").mapInArrow(run, "sym int, " + ", ".join(f"s{i} double" for i in range(k)))
-    summed = rows.groupBy("sym").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).toArrow()  # size + K + 1 rows at most
+    rows = encoded.where("not held_out").select("syms").coalesce(2 * sc.defaultParallelism).mapInArrow(run, "sym int, " + ", ".join(f"s{i} double" for i in range(k)))
+    summed = rows.groupBy("sym").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).toArrow()  # size + K + 2 rows at most
+    shared.destroy()
     keys = summed.column("sym").to_numpy()
     values = np.stack([summed.column(f"s{i}").to_numpy() for i in range(k)], axis=1) if len(keys) else np.zeros((0, k))
-    first, pairs, seen = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
+    first, pairs, seen, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0
     seen[keys[keys >= 0]] = values[keys >= 0]
     for key, value in zip(keys, values):
         if key == -1:
             first = value
+        elif key == -2 - k:
+            likelihood = float(value[0])
         elif key < -1:
             pairs[-2 - key] = value
-    return first, pairs, seen
-
-
-def _excerpt(most: int):
-    """So many symbols at most of a row, from a place that its uid decides."""
-    spare = F.greatest(F.octet_length("syms") / 2 - most, F.lit(0)).cast("long")
-    return F.substring(F.col("syms"), (1 + 2 * F.pmod(F.xxhash64("uid"), spare + 1)).cast("int"), F.lit(2 * most))
+    return first, pairs, seen, likelihood
 
 
-def trained(encoded: DataFrame, book: Symbols, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """Baum-Welch: SEED_ROUNDS on a bounded sample of windows, then rounds over all training rows."""
+def trained(encoded: DataFrame, book: Symbols, states: int = STATES, settled: float = SETTLED) -> Hmm:
+    """Baum-Welch from a random start, each iteration over all training rows, until two in a row gain less than settled."""
     unigram, size = book.unigram(), book.tail + 2
-    model = random_start(unigram, states)
-    picked = encoded.where("not held_out").orderBy(F.xxhash64("doc_id"), "uid").limit(SEED_DOCS).select(_excerpt(WINDOW * (SEED_WINDOWS // SEED_DOCS)).alias("syms")).collect()
-    sample, leads = windows([np.frombuffer(r[0], np.uint16).astype(np.int64) for r in picked], size)
-    for _ in range(SEED_ROUNDS if len(sample) else 0):
-        first, pairs, seen, _ = expected(model, sample, leads, size)
+    model, before, small = random_start(unigram, states), -np.inf, 0
+    while small < 2:
+        first, pairs, seen, likelihood = _counts_over(encoded, model, size)
         model = model.reestimated(first, pairs, seen, unigram)
-    for _ in range(rounds):
-        model = model.reestimated(*_counts_over(encoded, model, size), unigram)
+        small = small + 1 if likelihood - before < settled * book.tokens or not book.tokens else 0
+        before = likelihood
     return model
 
 
@@ -341,7 +345,7 @@ def _head_scores(encoded: DataFrame, book: Symbols, model: Hmm) -> DataFrame:
     return encoded.select("uid", "doc_id", "held_out", "syms").mapInArrow(run, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, tail_tokens long, head_base double, head_score double")
 
 
-def scored(docs: DataFrame, head: int = HEAD, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def scored(docs: DataFrame, head: int = HEAD, states: int = STATES, settled: float = SETTLED) -> DataFrame:
     """All rows of docs (doc_id, text, held_out), scored by what the rows that are not held out teach.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram, add one half) and score (the HMM),
@@ -352,7 +356,7 @@ def scored(docs: DataFrame, head: int = HEAD, states: int = STATES, rounds: int
     counts = written(word_counts(learn), "word-counts")
     book = symbols(counts, learn.count(), head)
     encoded = written(_encoded(docs, sc.broadcast(book)), "encoded")
-    model = trained(encoded, book, states, rounds)
+    model = trained(encoded, book, states, settled)
     heads = _head_scores(encoded, book, model)
     spread = encoded.where(F.size("tail_h") > 0).select("uid", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("w")).select("uid", F.col("w.tail_h").alias("h"), F.col("w.tail_n").alias("n"))
     rare = spread.join(counts, "h", "left").select("uid", "n", F.coalesce("c", F.lit(0)).alias("c"))

@@ -272,3 +272,17 @@ def test_near_copies_without_anchors_are_linked(spark):
     anchors = Words(*text_bytes(pa.array(["a b"]))).hash.view(np.int64).tolist()
     rows = spotsigs.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), anchors).collect()
     assert {r["doc_id"]: r["component_id"] for r in rows} == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_training_counts_all_rows_until_it_settles(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    steps, counts = [], hmm._counts_over
+    monkeypatch.setattr(hmm, "_counts_over", lambda *a: steps.append(counts(*a)) or steps[-1])
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.lit(False).alias("held_out"))
+    rows = hmm.scored(docs).collect()
+    tokens, gains = rows[0]["train_tokens"], [b[-1] - a[-1] for a, b in zip(steps, steps[1:])]
+    assert all(seen.sum() == pytest.approx(tokens) and first.sum() == pytest.approx(docs.count()) for first, _, seen, _ in steps)
+    assert steps[0][-1] < steps[-1][-1] and len(gains) > 3 and max(gains[-2:]) < hmm.SETTLED * tokens
+    # No sequence of two small gains came before.
+    assert all(max(pair) >= hmm.SETTLED * tokens for pair in zip(gains[:-2], gains[1:-1]))
