@@ -34,11 +34,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each group linked by five-word shingles at a similarity of 0.8 or more.
 
-    Equal rows count once. Documents without words form no groups and stay.
+    Equal rows count once. Documents without words form no groups and stay. Of those kept, the one of least doc_id also
+    keeps each line of over 50 words that several share; n_chars follows the text of the others. This comes after the
+    groups, for a near copy without its passages would no longer be known as one.
     """
     found = jaccard.near_components(docs.select("doc_id", "text"))
     keep = written(found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    lost = linededup.lost_passages(docs.select("doc_id", "text"), keep).withColumnRenamed("doc_id", "_lost_id")
+    kept = keep.join(lost, F.col("_kept_id").eqNullSafe(F.col("_lost_id")), "left").select("_kept_id", "lost")
+    used = ["doc_id", "text"]
+    rows = boxed(docs, used).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id"))).dropDuplicates(used)
+    out = linededup.without_passages(rows)
+    given = F.col("_rest").getField("n_chars")
+    length = F.when(F.col("cut"), F.length("text")).otherwise(given).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[length if c == "n_chars" else x for c, x in zip(docs.columns, unboxed(out, docs.columns, used))])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ Lines are split at "\\n" and known by 96 hash bits. Lines without a word are lay
 a site of its own. Null text stays null and has no lines. A document that loses all its lines keeps an empty text.
 Repeated rows carry the same lines: all rows with the least doc_id keep them, and a null doc_id counts as the greatest.
 Extra columns pass through; n_lines and n_removed replace columns of these names.
+
+The query takes a line from 8 sites on, whatever its length, as its SQL does. Long passages that fewer sites or one site
+alone repeat are the matter of lost_passages, which the pipeline applies once near copies of whole documents are gone.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from .common import WORD, boxed, table, unboxed, written
 
 #: A sketch of 2**12 registers has a relative standard error of about 1.6 %; three of them on either side are near.
 LG_K, NEAR = 12, 0.05
+#: A line of more words is a passage.
+PASSAGE = 50
 
 
 def _key() -> Column:
@@ -69,6 +74,30 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 8) -> Da
     return counted.select(*unboxed(counted, [c for c in docs.columns if c not in ("n_lines", "n_removed")], used), "n_lines", "n_removed")
 
 
+def lost_passages(docs: DataFrame, kept: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """(doc_id, lost) of documents that repeat a line of over so many words of a document with a lesser doc_id.
+
+    Any two documents count, of one site or of several; kept (_kept_id) names the documents that there are. lost maps the
+    key of a text to the places of its lines that go. Keys and null values are those of dedup_lines.
+    """
+    own = docs.where("text is not null").select(_key().alias("key"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    long = own.where((F.length("line") > 2 * words) & (F.regexp_count("line", F.lit(WORD)) > words)).select("key", "doc_id", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+    lines = written(long.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi"), "passages")
+    spread = lines.groupBy("h", "g").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("blank"))
+    bad = written(spread.where("keeper < last or (keeper is not null and blank > 0)").select("h", "g", "keeper"), "repeated")
+    lost = lines.join(bad, ["h", "g"]).where("doc_id > keeper or doc_id is null")
+    per = lost.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("places"))
+    return per.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "places"))).alias("lost"))
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lost, ...) with text less its lost passages, and cut: whether it had any."""
+    places = F.try_element_at("lost", _key())
+    found = docs.withColumn("lost", places)
+    cut = F.col("lost").isNotNull()
+    return found.withColumn("shorter", _without(F.when(cut, F.col("text")), F.col("lost"))).withColumns({"text": F.when(cut, F.col("shorter")).otherwise(F.col("text")), "cut": cut})
+
+
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents: doc_id, n_lines, n_removed, n_chars and SHA-256 of the text that stays; a site is a source."""
     out = dedup_lines(table(spark, sf_dir, "documents"))

@@ -225,3 +225,30 @@ def test_spotsigs_near_duplicates_against_brute_force(spark, num):
                 root[y] = x
     rows = spotsigs.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), anchors, num=num).collect()
     assert {r["doc_id"]: (r["n_signatures"], r["component_id"]) for r in rows} == {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_pipeline_keeps_a_long_passage_once(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    said = lambda n: " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(n))
+    passages = [said(51), said(51), said(300), said(50)]  # the last is too short
+    docs = []
+    for i in range(24):
+        lines = [said(120), *[p for j, p in enumerate(passages) if (i + j) % (2 + j) == 0], f"short {i % 3}", ""]
+        rng.shuffle(lines)
+        docs.append((i, "\n".join(lines), "hot" if i % 5 else f"s{i}", i + 7000))
+    docs += [docs[3], docs[4], (30, docs[0][1] + "\nx", "hot", 1), (31, None, "hot", None), (32, "", "hot", 0), (None, "\n".join([said(120), passages[0]]), "hot", 2), (40, passages[2] + "\n" + passages[1], "hot", 3)]
+    given = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars int").repartition(3)
+    for lines_first in (False, True):
+        before = corpus_pipeline.line_dedup_stage(spark, given, "") if lines_first else given
+        rows = corpus_pipeline.near_duplicate_stage(spark, before, "").collect()
+        whole = {d[0]: d for d in docs if d[0] != 30}
+        assert sorted(str(r["doc_id"]) for r in rows) == sorted(map(str, whole))
+        keeper = {p: min(i for i, d in whole.items() if i is not None and p in (d[1] or "").split("\n")) for p in passages[:3]}
+        for r in rows:
+            _, text, source, n = whole[r["doc_id"]]
+            kept = None if text is None else "\n".join(x for x in text.split("\n") if keeper.get(x, r["doc_id"]) == r["doc_id"])
+            assert (r["text"], r["source"]) == (kept, source)
+            if not lines_first:
+                assert r["n_chars"] == (n if kept == text else len(kept))
