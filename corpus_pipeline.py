@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quiverseq.llm import bpe, jaccard, linededup, mixing, quality
 from quiverseq.llm.common import boxed, table, unboxed, word_count, written
 
-#: SQL has no counterpart of a fitted classifier, so the run is tested stage by stage against brute force.
+#: SQL has no counterpart of a fitted classifier. Of the stages, near_duplicates is tested against plain Python for passages; the
+#: others only for columns, odd rows and empty tables, and some of the operators below them against brute force.
 ORACLE_SQL = None
 
 
