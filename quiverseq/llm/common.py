@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,22 +27,48 @@ def scratch_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="quiverseq-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/quiverseq-{spark.sparkContext.applicationId}"
 
 
+#: For each noted() that is open, the paths that written() has used since.
+_notes: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(spark: SparkSession) -> None:
-    """Removes all tables that written() made in this application; results that read them must be consumed before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for paths in _notes:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quiverseq_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that written() returned; results that read them must be consumed before."""
+    for table_ in tables:
+        drop_paths(table_.sparkSession, [table_._quiverseq_path])
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths of the tables that written() makes meanwhile, for drop_paths() once what reads them is consumed."""
+    paths: list[str] = []
+    _notes.append(paths)
+    try:
+        yield paths
+    finally:
+        _notes[:] = [x for x in _notes if x is not paths]
 
 
 def boxed(docs: DataFrame, used: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -44,6 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = digest
         if not digest[0]:
             break
-        now = written(_small_star(_large_star(now)), "stars")
+        last, now = now, written(_small_star(_large_star(now)), "stars")
+        drop(last)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -1,199 +1,256 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All n-grams have one global order: by level (how far a hash bucket's count stands out from the noise of a frequency
-sketch, so what many documents share comes last), then by rarity (the sum of its words' log frequencies), then by
-hash. An n-gram's code is level, rarity and 46 hash bits, so codes sort in that order. The order is cut into fragments; a document's set falls apart into
-one segment per fragment; overlaps are counted fragment by fragment and summed per pair, so no task holds whole sets.
-Candidate pairs share one of the first n - ceil(t n) + 1 n-grams of either set (no pair at or above the threshold t
-lacks that), pass the length and position bounds, and have parity bitmaps that differ in few enough bits; each of these
-tests is one that every pair at or above the threshold passes.
+All n-grams have one global order, that of their 64-bit hashes, and the order is cut into fragments: coarse ones for
+counting, finer ones for finding candidates. A document's set falls apart into one segment per fragment.
+
+Candidates. Sets of a and b n-grams at similarity t or more differ in at most h = (1 - t) / (1 + t) (a + b) n-grams, and each
+of these spoils one fragment only. So of any h + 1 fragments one at least holds equal segments, and a signature for each
+segment finds the pair. Lists are partitioned by set length: the order is cut for the lengths of one band, and a set
+takes part in the band of its own length and in those that a longer partner may lie in. Segments of one n-gram or of
+common n-grams alone (whose hash bucket stands out in a frequency sketch) meet by chance, so a set gives the first h + 1
+segments that are better than that, however many fragments this takes; two such sets still share one of them. Sets that
+have too few get, in a list of signatures of their own, the first h + 1 of two n-grams or more, and if these are too few,
+too, all of the first h + 1 segments, empty ones included. So no pair at t or above is lost at any level.
+
+Verification. Candidates pass the length bound and have parity bitmaps that differ in few enough bits; each of these
+tests is one that every pair at t or above passes. Their overlaps are counted fragment by fragment and summed per pair,
+so no task holds whole sets.
 
 Groups of near copies would give a number of pairs that grows with the square of the group. Components need no more
-than a spanning set of links, so every list of documents behind a shared n-gram is worked off by hubs: its first
-member is compared with the others; then the next members, in growing blocks, but only with those that are still in
-another component. Each pair of a list is thus either compared or already connected; no link is lost.
+than a spanning set of links, so every list of documents behind a shared signature is worked off by hubs: the member
+with the most shared signatures (an original shares all of its segments, an edited copy only those before the edit) is
+compared with the others; then members in random order, in growing blocks, but only with later ones that are still in
+another component. Each pair of a list is thus either compared or already connected; no link is lost. Lists are never
+brought together in one task: hubs come from partial aggregates and are joined to the members.
 
-Documents with equal sets are one class from the start. n-grams are known by 46 hash bits besides their words' rarity,
-sets by 64: for sets of a thousand n-grams the chance that a collision changes a pair's overlap is under 1e-7, and that
-any two of a billion different sets count as equal about 0.03.
+Documents with equal sets are one class from the start. n-grams and sets are known by 64 hash bits: that any two of a
+billion different sets count as equal has a chance of about 0.03.
+
+Empty tables give empty results; other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import drop, drop_paths, noted, table, written
 from .components import components
 from .textkernels import U, Words, distinct, lists, mix, row_sums, shingles, slices, text_bytes
 
 #: Hash buckets of the frequency sketch (2**16 longs reach driver and executors, whatever the input).
 SKETCH = 1 << 16
-#: Bits of the filter that tells which classes need segments; classes that pass by chance cost work, never a result.
-FILTER = 1 << 22
+#: Bits of the filters that spare shuffles, at most; what passes by chance costs work, never a result.
+FILTER = 1 << 27
 #: Bits of the parity bitmap of a set: toggled once per n-gram, so two bitmaps differ in no more bits than two sets in n-grams.
 PARITY = 1024
-FRAGMENTS = 8
-#: Hash bits of a code.
-HASH = U((1 << 46) - 1)
+#: Fragments that overlaps are counted in, as a power of two.
+FRAGMENT_BITS = 3
+#: Lengths of a band: the next band begins at so many times its least length.
+BAND = 1.5
 #: Hubs per round grow by this factor.
-GROWTH = 8
-NEIGHBOURS = 3
-
+GROWTH = 64
 
-@dataclass
-class Order:
-    """What fixes the global order: level per n-gram bucket, log frequency per word bucket, first codes of fragments 1, 2, ..."""
 
-    level: np.ndarray
-    word: np.ndarray
-    cuts: np.ndarray
+def bands(most: int) -> np.ndarray:
+    """Least lengths of the bands, up to the one that holds most, and the bound of the last."""
+    least = [1]
+    while least[-1] <= most:
+        least.append(max(least[-1] + 1, int(least[-1] * BAND)))
+    return np.array(least, np.int64)
 
 
-def _sets(column: pa.Array, cut: Callable, order: Order | None = None) -> Iterator[tuple]:
+def _sets(column: pa.Array, cut: Callable) -> Iterator[tuple]:
     """For slices of rows: first and end row, row and code of the distinct n-grams (ascending), size and class of each set.
 
-    cut makes (row, hash, weight) of the n-grams of Words. Without an order the codes are bare hashes, and the words'
-    hashes come last in the tuple, else None.
+    cut makes (row, hash) of the n-grams of Words.
     """
     data, offsets = text_bytes(column)
     for a, b in slices(offsets):
-        words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        row, h, rarity = cut(words, weights=order.word[_bucket(words.hash)] if order else None)
-        code = h & HASH
-        if order:
-            code |= (order.level[_bucket(code)].astype(U) << U(56)) | (np.minimum(rarity, 1023).astype(U) << U(46))
-        row, code = distinct(row, code)
+        row, code = distinct(*cut(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])))
         size = np.bincount(row, minlength=b - a)
-        own = mix(row_sums(row, mix((code & HASH) ^ U(0x5851F42D4C957F2D)), b - a) ^ mix(size.astype(U)))
-        yield a, b, row, code, size, own.view(np.int64), None if order else words.hash
+        own = mix(row_sums(row, mix(code ^ U(0x5851F42D4C957F2D)), b - a) ^ mix(size.astype(U)))
+        yield a, b, row, code, size, own.view(np.int64)
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h & U(SKETCH - 1)).astype(np.int64)
 
 
-def _parity(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
-    """(rows, PARITY / 64) words of the sets' parity bitmaps."""
-    bits = np.bincount(row * PARITY + ((h >> U(20)) & U(PARITY - 1)).astype(np.int64), minlength=rows * PARITY) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(rows, PARITY), axis=1).view(np.int64)
-
-
 def _profile(docs: DataFrame, cut: Callable) -> DataFrame:
-    """Rows (doc_id, n, cls, parity) of documents, and rows (bucket, n) with each task's sketch counts."""
+    """Rows (doc_id, n, cls) of documents, and rows (bucket, n) with each task's sketch counts."""
+    names = ["doc_id", "bucket", "n", "cls"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 * SKETCH, np.int64)  # of n-grams, then of words
+        counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            sizes, classes, parities = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, PARITY // 64), np.int64)]
-            for a, b, row, h, size, own, words in _sets(batch.column("text"), cut):
-                counts[:SKETCH] += np.bincount(_bucket(h), minlength=SKETCH)
-                counts[SKETCH:] += np.bincount(_bucket(words), minlength=SKETCH)
+            sizes, classes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, _, _, code, size, own in _sets(batch.column("text"), cut):
+                counts += np.bincount(_bucket(code), minlength=SKETCH)
                 sizes.append(size)
                 classes.append(own)
-                parities.append(_parity(row, h, b - a))
-            n, cls, parity = np.concatenate(sizes), np.concatenate(classes), np.concatenate(parities)
-            edges = pa.array(np.arange(len(n) + 1, dtype=np.int32) * (PARITY // 64))
-            columns = [batch.column("doc_id"), pa.nulls(len(n), pa.int32()), pa.array(n, pa.int64()), pa.array(cls, pa.int64(), mask=n == 0), pa.ListArray.from_arrays(edges, pa.array(parity.ravel()))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            n, cls = np.concatenate(sizes), np.concatenate(classes)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.nulls(len(n), pa.int32()), pa.array(n, pa.int64()), pa.array(cls, pa.int64(), mask=n == 0)], names)
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(counts[used], pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.list_(pa.int64()))], names)
-
-    names = ["doc_id", "bucket", "n", "cls", "parity"]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, bucket int, n long, cls long, parity array<bigint>")
-
-
-def _order(profile: DataFrame, k: int) -> Order:
-    """The global order from the sketches; fragments of about equal shares, as far as words are independent."""
-    counts = np.zeros(2 * SKETCH, np.int64)
-    for bucket, n in profile.where("bucket is not null").groupBy("bucket").agg(F.sum("n")).collect():  # at most 2 SKETCH rows
-        counts[bucket] = n
-    grams, words = counts[:SKETCH], counts[SKETCH:]
-    noise = np.median(grams) + 4 * np.sqrt(np.median(grams) + 1)
-    level = np.where(grams > noise, 1 + np.log2(np.maximum(grams - noise, 1)), 0).astype(np.uint8)
-    word = (8 * np.log2(words + 1.0)).astype(np.int64)
-    share = np.bincount(word, weights=words.astype(float)) / max(int(words.sum()), 1)
-    rarity = share
-    for _ in range(k - 1):
-        rarity = np.convolve(rarity, share)
-    rarity = np.append(rarity[:1023], rarity[1023:].sum()) if len(rarity) > 1024 else np.pad(rarity, (0, 1024 - len(rarity)))
-    at_level = np.bincount(level, weights=grams.astype(float), minlength=256)
-    reached = np.cumsum((at_level[:, None] * rarity[None, :]).ravel())
-    places = np.searchsorted(reached, reached[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS, "right")
-    return Order(level, word, places.astype(U) << U(46))
-
-
-def _prefixes(docs: DataFrame, cut: Callable, order, num: int, den: int) -> DataFrame:
-    """(cls, n, grams): the first n - ceil(t n) + 1 n-grams in the global order; one row per class and task at most."""
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(counts[used], pa.int64()), pa.nulls(len(used), pa.int64())], names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, bucket int, n long, cls long")
+
+
+def _common(profile: DataFrame) -> np.ndarray:
+    """Which buckets of the sketch stand out from its noise."""
+    counts = np.zeros(SKETCH, np.int64)
+    found = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    middle = np.median(counts)
+    return counts > middle + 4 * np.sqrt(middle + 1)
+
+
+def _emitted(row: np.ndarray, code: np.ndarray, size: np.ndarray, common: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of all sets, sorted by row: in each band of theirs, enough segments that partners at t share one."""
+    rows, sigs = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    if not len(row):
+        return rows[0], sigs[0]
+    least = bands(int(size.max()) * den // max(num, 1) + 1)
+    partner = size * den // num
+    own, last = (np.searchsorted(least, x, "right") - 1 for x in (size, partner))
+    rare = ~common[_bucket(code)]
+    value = mix(code ^ U(0xC2B2AE3D27D4EB4F))
+    for step in range(int((last - own)[size > 0].max(initial=0)) + 1):
+        band = own + step
+        longest = least[np.minimum(band + 1, len(least) - 1)] - 1
+        need = (den - num) * (size + np.minimum(partner, longest)) // (den + num) + 1
+        most = (den - num) * 2 * longest // (den + num)
+        parts = most + 1 + -(-most // 4)
+        # Sets with need 1 have no partners but equal ones, which are of their class.
+        takes = (size > 0) & (band <= last) & (need > 1)
+        at = np.flatnonzero(takes[row])
+        r = row[at]
+        part = ((code[at] >> U(32)) * parts[r].astype(U) >> U(32)).astype(np.int64)
+        new = np.ones(len(at), bool)
+        new[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
+        first = np.flatnonzero(new)
+        segment = np.append(first, len(at))
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(value[at], dtype=U)])
+        held = sums[segment[1:]] - sums[segment[:-1]]
+        several = np.diff(segment) > 1
+        rarest = np.concatenate([[0], np.cumsum(rare[at])])
+        r, part = r[first], part[first]
+        mark = lambda r, part: mix((band[r].astype(U) << U(40)) ^ part.astype(U))
+        left = takes
+        for level, fit in enumerate((several & (np.diff(rarest[segment]) > 0), several)):
+            use = np.flatnonzero(fit & left[r])
+            owner = r[use]
+            place = np.arange(len(use)) - np.searchsorted(owner, owner)
+            use = use[place < need[owner]]
+            rows.append(r[use])
+            sigs.append(mix(held[use] + mark(r[use], part[use]) + U(level)))
+            left = left & (np.bincount(owner, minlength=len(size)) < need)
+        poor = np.flatnonzero(left)  # all of the first segments, empty ones included
+        if len(poor):
+            begin = np.concatenate([[0], np.cumsum(need[poor])])
+            whole = np.repeat(poor, need[poor])
+            place = np.arange(len(whole)) - np.repeat(begin[:-1], need[poor])
+            content = np.zeros(len(whole), U)
+            use = np.flatnonzero(left[r] & (part < need[r]))
+            content[begin[np.searchsorted(poor, r[use])] + part[use]] = held[use]
+            rows.append(whole)
+            sigs.append(mix(content + mark(whole, place) + U(2)))
+    out, sig = np.concatenate(rows), np.concatenate(sigs)
+    order = np.argsort(out, kind="stable")
+    return out[order], sig[order]
+
+
+class _Fresh:
+    """Which rows bring a class that the task has not met; a task that has met very many begins anew."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def __call__(self, own: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        fresh = np.zeros(len(own), bool)
+        for i in np.flatnonzero(wanted):
+            if own[i] not in self.seen:
+                fresh[i] = True
+                self.seen.add(int(own[i]))
+        if len(self.seen) > 1 << 18:
+            self.seen.clear()
+        return fresh
+
+
+def _signed(docs: DataFrame, cut: Callable, common, num: int, den: int, shared=None) -> DataFrame:
+    """(sig, cls) of all classes; with a filter of shared signatures those alone, and n and degree, how many a class has.
+
+    A class may come once from each task.
+    """
+    names = ["sig", "cls"] if shared is None else ["sig", "cls", "n", "degree"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        fresh = _Fresh()
         for batch in batches:
-            for a, b, row, code, size, own, _ in _sets(batch.column("text"), cut, order.value):
-                fresh = np.zeros(b - a, bool)
-                for i in np.flatnonzero(size):
-                    if own[i] not in seen:
-                        fresh[i] = True
-                        seen.add(int(own[i]))
-                if len(seen) > 1 << 18:
-                    seen.clear()
-                need = np.where(fresh, size + (-num * size) // den + 1, 0)
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                first = place < need[row]
-                rows = np.flatnonzero(fresh)
-                at = np.searchsorted(rows, row[first])
-                yield pa.RecordBatch.from_arrays([pa.array(own[rows], pa.int64()), pa.array(size[rows], pa.int64()), lists(code[first].view(np.int64), at, len(rows), pa.int64())], ["cls", "n", "grams"])
-
-    return docs.select("text").mapInArrow(run, "cls long, n long, grams array<bigint>")
-
-
-def _segments(docs: DataFrame, cut: Callable, order, wanted) -> DataFrame:
-    """(cls, fragment, grams) of all classes that pass the filter; a class may come once from each task."""
+            for _, _, row, code, size, own in _sets(batch.column("text"), cut):
+                keep = fresh(own, size > 0)
+                at = keep[row]
+                r, sig = _emitted(row[at], code[at], np.where(keep, size, 0), common.value, num, den)
+                if shared is not None:
+                    pick = _passes(shared.value, sig.view(np.int64))
+                    r, sig = r[pick], sig[pick]
+                columns = [sig.view(np.int64), own[r], size[r], np.bincount(r, minlength=len(size))[r]][: len(names)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    return docs.select("text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def _segments(docs: DataFrame, cut: Callable, wanted) -> DataFrame:
+    """(cls, fragment, grams) of all classes that pass the filter; fragment -1 is the parity bitmap.
+
+    A class may come once from each task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
-        seen: set[int] = set()
+        fresh = _Fresh()
         for batch in batches:
-            for a, b, row, code, size, own, _ in _sets(batch.column("text"), cut, order.value):
-                fresh = np.zeros(b - a, bool)
-                for i in np.flatnonzero((size > 0) & _passes(bits, own)):
-                    if own[i] not in seen:
-                        fresh[i] = True
-                        seen.add(int(own[i]))
-                keep = fresh[row]
-                row, code = row[keep], code[keep]
-                at = row * FRAGMENTS + np.searchsorted(order.value.cuts, code, "right")
-                cells, first = np.unique(at, return_index=True)
-                grams = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(code.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(own[cells // FRAGMENTS], pa.int64()), pa.array((cells % FRAGMENTS).astype(np.int32)), grams], ["cls", "fragment", "grams"])
+            for _, _, row, code, size, own in _sets(batch.column("text"), cut):
+                keep = fresh(own, (size > 0) & _passes(wanted.value, own))
+                row, code = row[keep[row]], code[keep[row]]
+                cells, first = np.unique((row << FRAGMENT_BITS) + (code >> U(64 - FRAGMENT_BITS)).astype(np.int64), return_index=True)
+                grams = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(code.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(own[cells >> FRAGMENT_BITS], pa.int64()), pa.array((cells & (1 << FRAGMENT_BITS) - 1).astype(np.int32)), grams], ["cls", "fragment", "grams"])
+                rows = np.flatnonzero(keep)
+                parity = _parity(np.searchsorted(rows, row), code, len(rows))
+                grams = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (PARITY // 64)), pa.array(parity.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(own[rows], pa.int64()), pa.array(np.full(len(rows), -1, np.int32)), grams], ["cls", "fragment", "grams"])
 
     return docs.select("text").mapInArrow(run, "cls long, fragment int, grams array<bigint>")
 
 
-def _filter(classes: DataFrame) -> np.ndarray:
-    """A bit for each class (cls) by its hash: FILTER / 32 words reach the driver at most."""
-    at = F.col("cls").bitwiseAND(F.lit(FILTER - 1))
-    words = classes.groupBy(F.shiftright(at, 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cls & 31 as int)))").alias("bits"))
-    out = np.zeros(FILTER >> 5, np.uint32)
-    for word, bits in words.collect():
-        out[word] = bits
-    return out
+def _parity(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, PARITY / 64) words of the sets' parity bitmaps."""
+    bits = np.bincount(row * PARITY + ((h >> U(20)) & U(PARITY - 1)).astype(np.int64), minlength=rows * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(rows, PARITY), axis=1).view(np.int64)
 
 
-def _passes(bits: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    at = classes & (FILTER - 1)
-    return (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0
+def _filter(rows: DataFrame, column: str = "cls") -> np.ndarray:
+    """A bit for each value by its hash, 16 bits a row but FILTER at most; so many bits reach the driver as 64-bit words."""
+    size = 1 << 12
+    most = rows.count()
+    while size < min(16 * most, FILTER):
+        size *= 2
+    at = F.col(column).bitwiseAND(F.lit(size - 1))
+    words = rows.select(at.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(U)
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & (64 * len(bits) - 1)
+    return (bits[at >> 6] >> (at & 63).astype(U)) & U(1) > 0
 
 
 def _passing(rows: DataFrame, wanted) -> DataFrame:
@@ -206,28 +263,23 @@ def _passing(rows: DataFrame, wanted) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _able(na, pa_, nb, pb, num: int, den: int):
-    """Whether sets of na and nb n-grams, the first common one at places pa_ and pb, may reach t."""
-    most = F.least(na - pa_, nb - pb)
-    return (F.lit(den) * F.least(na, nb) >= F.lit(num) * F.greatest(na, nb)) & (F.lit(den + num) * most >= F.lit(num) * (na + nb))
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls"))
 
 
-def _lists(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """(gram, cls, n, pos, place, size): lists of classes behind a shared n-gram, less those without a partner of like size.
+def _pairs(joined: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b, na, nb) of joined rows (x, y, nx, ny) whose lengths allow t."""
+    able = joined.where(F.lit(den) * F.least("nx", "ny") >= F.lit(num) * F.greatest("nx", "ny"))
+    swap = F.col("x") > F.col("y")
+    return able.select(*[F.when(swap, F.col(v)).otherwise(F.col(u)).alias(name) for name, u, v in (("a", "x", "y"), ("b", "y", "x"), ("na", "nx", "ny"), ("nb", "ny", "nx"))]).distinct()
 
-    place 0, the first hub, is the member that has the n-gram earliest: an original shares its rarest n-grams with its
-    edited copies, while a copy's own edits come before the n-grams that it shares. One shuffle serves both windows.
-    """
-    one = prefixes.dropDuplicates(["cls"])
-    posted = one.select("cls", "n", F.posexplode("grams").alias("pos", "gram"))
-    by_size, by_place, whole = Window.partitionBy("gram").orderBy("n", "cls"), Window.partitionBy("gram").orderBy("pos", "cls"), Window.partitionBy("gram")
-    near = (F.lit(den) * F.lag("n").over(by_size) >= F.lit(num) * F.col("n")) | (F.lit(den) * F.col("n") >= F.lit(num) * F.lead("n").over(by_size))
-    # In lists of up to 1 + NEIGHBOURS members the neighbours by size are all there are, so the whole test is exact.
-    around = [(step("n", i).over(by_size), step("pos", i).over(by_size)) for step in (F.lag, F.lead) for i in range(1, NEIGHBOURS + 1)]
-    able = reduce(lambda x, y: x | y, [F.coalesce(_able(F.col("n"), F.col("pos"), n, pos, num, den), F.lit(False)) for n, pos in around])
-    tested = posted.withColumns({"near": near, "able": able, "size": F.count("*").over(whole)})
-    paired = tested.where(F.when(F.col("size") <= 1 + NEIGHBOURS, F.col("able")).otherwise(F.col("near"))).drop("near", "able", "size")
-    return paired.withColumn("place", F.row_number().over(by_place) - 1).withColumn("size", F.count("*").over(whole))
+
+def _near_enough(pairs: DataFrame, parity: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose parity bitmaps differ in no more bits than the sets may in n-grams; no pair at or above t is lost."""
+    left, right = parity.select(F.col("cls").alias("a"), F.col("grams").alias("ba")), parity.select(F.col("cls").alias("b"), F.col("grams").alias("bb"))
+    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    met = pairs.join(left, "a").join(right, "b")
+    return met.where(F.lit(den + num) * apart <= F.lit(den - num) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -238,87 +290,96 @@ def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
 
 
-def linked_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, cut: Callable | None = None, by_length: bool = False) -> tuple[DataFrame, DataFrame]:
+def _links(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v) of the pairs at t or above, written."""
+    met = written(pairs, "met")
+    sc = pairs.sparkSession.sparkContext
+    parity = _passing(segments.where("fragment = -1"), sc.broadcast(_filter(_ends(met)))).dropDuplicates(["cls"])
+    near = written(_near_enough(met, parity, num, den), "pairs")
+    own = _passing(segments.where("fragment >= 0"), sc.broadcast(_filter(_ends(near)))).dropDuplicates(["cls", "fragment"])
+    found = _overlaps(near, own).where(F.lit(den) * F.col("overlap") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("overlap")))
+    links = written(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    drop(met, near)
+    return links
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(cls, root) by all links so far: those behind labels, and new ones. Drops the tables given."""
+    edges = links if labels is None else links.unionByName(labels.select(F.col("cls").alias("u"), F.col("root").alias("v")))
+    with noted() as paths:
+        roots = components(edges)
+    found = written(roots.select(F.col("node").alias("cls"), "root"), "labels")
+    drop(links, *([labels] if labels is not None else []))
+    drop_paths(found.sparkSession, paths)
+    return found
+
+
+def linked_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, cut: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, cls) and roots (cls, root) of classes that have a link; t = num / den.
 
-    cut replaces the k-word shingles by other n-grams of about k words.
+    cut replaces the k-word shingles by other n-grams. Two written tables stay behind the result; all others are dropped.
     """
     cut = cut or partial(shingles, k=k)
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+    sc = docs.sparkSession.sparkContext
     profile = written(_profile(docs, cut), "sets")
-    order = sc.broadcast(_order(profile, k))
-    live = written(_lists(_prefixes(docs, cut, order, num, den), num, den).withColumn("comp", F.col("cls")), "lists")
+    common = sc.broadcast(_common(profile))
+    twice = _signed(docs, cut, common, num, den).groupBy("sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("sig")
+    shared = written(twice, "shared")
+    live = written(_signed(docs, cut, common, num, den, sc.broadcast(_filter(shared, "sig"))).dropDuplicates(["sig", "cls"]), "live")
+    drop(shared)
+    hub = F.max(F.struct("degree", F.xxhash64("cls").alias("tie"), "cls", "n")).alias("hub")
+    heads = live.groupBy("sig").agg(hub, F.count("*").alias("size")).where("size > 1").select("sig", "size", F.col("hub.cls").alias("x"), F.col("hub.n").alias("nx"))
+    members = written(live.drop("degree").join(heads, "sig").where("cls <> x"), "members")
+    drop(live)
     own = profile.where("bucket is null").select("doc_id", "n", "cls")
-    bits = _filter(live)
+    known = _filter(members.select("cls").unionByName(members.select(F.col("x").alias("cls"))))
+    segments = written(_segments(docs, cut, sc.broadcast(known)), "segments") if known.any() else None
     labels = None
-    if bits.any():
-        parity = written(_passing(profile.where("cls is not null").select("cls", "parity"), sc.broadcast(bits)).dropDuplicates(["cls"]), "parity")
-        segments = written(_segments(docs, cut, order, sc.broadcast(bits)), "segments")
-        links, low, high = None, 0, 1
+    if segments is not None:
+        links = _links(_pairs(members.withColumnsRenamed({"cls": "y", "n": "ny"}), num, den), segments, num, den)
+        labels = _joined(None, links)
+        # From here on lists are without their first hubs, which have met all others.
+        left = members.where("size > 2").select("sig", "cls", "n", "size", (F.abs(F.shiftright(F.xxhash64("cls", F.lit(1)), 1)) / F.lit(float(1 << 62)) * F.col("size")).alias("place"))
+        bound, before = 1, members
         while True:
-            met = written(_pairs(live, low, high, num, den, by_length), "met")
-            pairs = written(_near_enough(met, _passing(parity, sc.broadcast(_filter(_ends(met)))), num, den), "pairs")
-            used = _filter(_ends(pairs))
-            if used.any():
-                found = _overlaps(pairs, _passing(segments, sc.broadcast(used)).dropDuplicates(["cls", "fragment"])).where(F.lit(den) * F.col("overlap") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("overlap")))
-                new = written(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-                if not new.isEmpty():
-                    links = new if links is None else links.unionByName(new)
-                    labels = written(components(links).select(F.col("node").alias("cls"), "root"), "labels")
-                    links = labels.select(F.col("cls").alias("u"), F.col("root").alias("v"))
-            low, high = high, high * GROWTH
-            live = written(_spanning(live.where(F.col("size") > low + 1), labels), "live")
-            if live.isEmpty():
+            left = written(_spanning(left, labels), "left")
+            drop(before)
+            longest = left.agg(F.max("size")).first()[0] or 0  # 0 if no list is left
+            if longest <= bound:
+                drop(left)
                 break
-    if labels is None:
-        labels = spark.createDataFrame([], "cls long, root long")
+            bound *= GROWTH
+            hubs = left.where(F.col("place") < bound).select("sig", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("place").alias("px"))
+            others = left.withColumnsRenamed({"cls": "y", "n": "ny", "comp": "cy", "place": "py"})
+            met = hubs.join(others, "sig").where("cx <> cy and (py > px or py = px and y > x)")
+            links = _links(_pairs(met, num, den), segments, num, den)
+            labels = labels if links.isEmpty() else _joined(labels, links)
+            if longest <= bound:
+                drop(left)
+                break
+            before, left = left, left.where(F.col("place") >= bound).drop("comp")
+        drop(segments)
+    else:
+        drop(members)
+        labels = docs.sparkSession.createDataFrame([], "cls long, root long")
     return own, labels
 
 
-def _spanning(live: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The lists that still span two components, each member with its component."""
-    if labels is not None:
-        live = live.drop("comp").join(labels, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-    whole = Window.partitionBy("gram")
-    spread = live.withColumns({"lo": F.min("comp").over(whole), "hi": F.max("comp").over(whole)})
-    return spread.where("lo < hi").drop("lo", "hi")
-
-
-def _near_enough(pairs: DataFrame, parity: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose parity bitmaps differ in no more bits than the sets may in n-grams; no pair at or above t is lost."""
-    left, right = parity.select(F.col("cls").alias("a"), F.col("parity").alias("ba")), parity.select(F.col("cls").alias("b"), F.col("parity").alias("bb"))
-    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    met = pairs.join(left, "a").join(right, "b")
-    return met.where(F.lit(den + num) * apart <= F.lit(den - num) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
-
+def _spanning(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that span two components, each member with its component."""
+    with_comp = lists.join(labels, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+    open_ = with_comp.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+    return with_comp.join(open_, "sig")
 
-def _pairs(live: DataFrame, low: int, high: int, num: int, den: int, by_length: bool = False) -> DataFrame:
-    """Distinct pairs of hubs (places low to high - 1) and later members in other components that may reach t.
 
-    by_length also partitions lists by set length: sets at t or more lie in the same or in neighbouring bands of n, the
-    bounds of which grow by a little more than 1 / t.
-    """
-    width = -1.001 * math.log(num / den) if num < den else 1.0
-    bands = F.floor(F.log("n") / F.lit(width)).cast("int") if by_length else F.lit(0)
-    live = live.withColumn("band", bands)
-    hub = live.where(F.col("place").between(low, high - 1)).select("gram", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("place").alias("ka"), (F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)) if by_length else F.col("band")).alias("band"))
-    other = live.where(F.col("place") > low).select("gram", "band", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("place").alias("kb"))
-    able = _able(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), num, den)
-    joined = hub.join(other, ["gram", "band"] if by_length else "gram").where((F.col("kb") > F.col("ka")) & (F.col("ca") != F.col("cb")) & able)
-    swap = F.col("a") > F.col("b")
-    one_way = joined.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))])
-    return one_way.distinct()
-
-
-def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, cut: Callable | None = None, by_length: bool = False) -> DataFrame:
+def near_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, cut: Callable | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included).
 
     docs has doc_id and text. Two documents link when den x intersection >= num x union of their k-word shingle sets; a
     text of fewer words has its whole sequence as one shingle. Null or empty texts have size 0 and no links. Repeated
     rows come back once each. A null doc_id stays null unless linked.
     """
-    own, roots = linked_classes(docs, k, num, den, cut, by_length)
+    own, roots = linked_classes(docs, k, num, den, cut)
     classes = own.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -87,43 +87,40 @@ def common_words(docs: DataFrame, n: int = ANCHORS) -> list[tuple[int, str, int]
         tried *= 4
 
 
-def chains(words: Words, anchors: np.ndarray, chain: int = CHAIN, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, weight), in row order, of each anchor with the content words that follow it, and of free stretches.
+def chains(words: Words, anchors: np.ndarray, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash), in row order, of each anchor with the content words that follow it, and of free stretches.
 
-    anchors is the sorted array of anchor word hashes; weight is the sum of the words' weights.
+    anchors is the sorted array of anchor word hashes.
     """
     n = len(words.hash)
-    weights = np.zeros(n, np.int64) if weights is None else weights
     common = anchors[np.minimum(np.searchsorted(anchors, words.hash), len(anchors) - 1)] == words.hash if len(anchors) else np.zeros(n, bool)
     content = np.append(np.flatnonzero(~common), np.full(chain, n))
     spot = np.flatnonzero(common)
-    row_of, hash_of, weight_of = np.append(words.row, -1), np.append(words.hash, U(0)), np.append(weights, 0)
+    row_of, hash_of = np.append(words.row, -1), np.append(words.hash, U(0))
     at = np.searchsorted(content[: len(content) - chain], spot)
-    h, w, some = words.hash[spot], weights[spot], np.zeros(len(spot), bool)
+    h, some = words.hash[spot], np.zeros(len(spot), bool)
     for j in range(chain):
         follow = content[at + j]
         inside = row_of[follow] == words.row[spot]
         h = mix(h + np.where(inside, hash_of[follow], U(0)) + U(j + 1))
-        w = w + np.where(inside, weight_of[follow], 0)
         some |= inside
-    row, h, w = words.row[spot][some], h[some], w[some]
+    row, h = words.row[spot][some], h[some]
     free = _free(words, spot[some], chain)
     if len(free):
-        own, all_ = np.zeros(len(free), U), np.zeros(len(free), np.int64)
+        own = np.zeros(len(free), U)
         for j in range(chain + 1):
             own = mix(own + words.hash[free + j] + U(j + 1))
-            all_ += weights[free + j]
-        row, h, w = np.concatenate([row, words.row[free]]), np.concatenate([h, own]), np.concatenate([w, all_])
+        row, h = np.concatenate([row, words.row[free]]), np.concatenate([h, own])
         order = np.argsort(row, kind="stable")
-        row, h, w = row[order], h[order], w[order]
+        row, h = row[order], h[order]
     bare = np.flatnonzero((words.counts > 0) & (np.bincount(row, minlength=words.rows) == 0))
     if len(bare):
         place = np.arange(n) - words.firsts[words.row]
         whole = mix(row_sums(words.row, mix(words.hash + place.astype(U)), words.rows))[bare]
-        row, h, w = np.concatenate([row, bare]), np.concatenate([h, whole]), np.concatenate([w, np.zeros(len(bare), np.int64)])
+        row, h = np.concatenate([row, bare]), np.concatenate([h, whole])
         order = np.argsort(row, kind="stable")
-        row, h, w = row[order], h[order], w[order]
-    return row, h, w
+        row, h = row[order], h[order]
+    return row, h
 
 
 def _free(words: Words, begins: np.ndarray, chain: int) -> np.ndarray:
@@ -148,7 +145,7 @@ def signatures(column: pa.Array, anchors: np.ndarray, chain: int = CHAIN) -> lis
     data, offsets = text_bytes(column)
     out: list[np.ndarray] = []
     for a, b in slices(offsets):
-        row, h, _ = chains(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), anchors, chain)
+        row, h = chains(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), anchors, chain)
         row, h = distinct(row, h >> U(32))
         out += np.split(h.astype(np.uint32), np.searchsorted(row, np.arange(1, b - a)))
     return out
@@ -157,13 +154,13 @@ def signatures(column: pa.Array, anchors: np.ndarray, chain: int = CHAIN) -> lis
 def near_duplicates(docs: DataFrame, anchors: list[int] | None = None, chain: int = CHAIN, num: int = 80, den: int = 100) -> DataFrame:
     """Per document: doc_id, n_signatures, component_id: classes of documents whose signature sets reach num / den.
 
-    The join is the pruned one of the jaccard module, over signatures instead of shingles: rarest signatures first,
-    lists partitioned by set length, pairs pruned by length, position and parity bitmaps, and verified exactly.
+    The join is the pruned one of the jaccard module, over signatures instead of shingles: lists partitioned by set
+    length, pairs pruned by length and parity bitmaps, and verified exactly.
     """
     from .jaccard import near_components
 
     known = np.sort(np.array(anchors if anchors is not None else [h for h, _, _ in common_words(docs)], np.int64).view(U))
-    found = near_components(docs, chain + 1, num, den, partial(chains, anchors=known, chain=chain), by_length=True)
+    found = near_components(docs, chain + 1, num, den, partial(chains, anchors=known, chain=chain))
     return found.withColumnRenamed("n_shingles", "n_signatures")
 
 

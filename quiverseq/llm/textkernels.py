@@ -87,35 +87,27 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def shingles(words: Words, k: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, weight), in row order, of all runs of k words; a row with fewer words, but some, gives its whole sequence.
-
-    weight is the sum of the words' weights, 0 without any.
-    """
+def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash), in row order, of all runs of k words; a row with fewer words, but some, gives its whole sequence."""
     m = len(words.hash)
-    if weights is None:
-        weights = np.zeros(m, np.int64)
     if not m:
-        return np.zeros(0, np.int64), np.zeros(0, U), weights
+        return np.zeros(0, np.int64), np.zeros(0, U)
     n = max(m - k + 1, 0)
-    h, w = np.zeros(n, U), np.zeros(n, np.int64)
+    h = np.zeros(n, U)
     for j in range(k if n else 0):
         h = mix(h + words.hash[j : n + j] + U(j + 1))
-        w += weights[j : n + j]
     full = words.row[:n] == words.row[k - 1 :] if n else np.zeros(0, bool)
-    row, h, w = words.row[:n][full], h[full], w[full]
+    row, h = words.row[:n][full], h[full]
     short = np.flatnonzero((words.counts > 0) & (words.counts < k))
     if len(short):
-        own, all_ = np.zeros(len(short), U), np.zeros(len(short), np.int64)
+        own = np.zeros(len(short), U)
         for j in range(k - 1):
             has = words.counts[short] > j
-            at = words.firsts[short[has]] + j
-            own[has] = mix(own[has] + words.hash[at] + U(j + 1))
-            all_[has] += weights[at]
-        row, h, w = np.concatenate([row, short]), np.concatenate([h, mix(own ^ (U(0xA5A5A5A5A5A5A5A5) + words.counts[short].astype(U)))]), np.concatenate([w, all_])
+            own[has] = mix(own[has] + words.hash[words.firsts[short[has]] + j] + U(j + 1))
+        row, h = np.concatenate([row, short]), np.concatenate([h, mix(own ^ (U(0xA5A5A5A5A5A5A5A5) + words.counts[short].astype(U)))])
         order = np.argsort(row, kind="stable")
-        row, h, w = row[order], h[order], w[order]
-    return row, h, w
+        row, h = row[order], h[order]
+    return row, h
 
 
 def distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
