@@ -12,13 +12,13 @@ segments that are better than that, however many fragments this takes; two such
 have too few get, in a list of signatures of their own, the first h + 1 of two n-grams or more, and if these are too few,
 too, all of the first h + 1 segments, empty ones included. So no pair at t or above is lost at any level.
 
-Verification. Candidates pass the length bound and have parity bitmaps that differ in few enough bits; each of these
-tests is one that every pair at t or above passes. Their overlaps are counted fragment by fragment and summed per pair,
-so no task holds whole sets.
+Verification. Candidates pass the length bound, a bound by the n-grams that each of the two has alone, and have parity
+bitmaps (folded ones first) that differ in few enough bits; each of these tests is one that every pair at t or above passes. Their overlaps
+are counted fragment by fragment and summed per pair, so no task holds whole sets.
 
 Groups of near copies would give a number of pairs that grows with the square of the group. Components need no more
 than a spanning set of links, so every list of documents behind a shared signature is worked off by hubs: the member
-with the most shared signatures (an original shares all of its segments, an edited copy only those before the edit) is
+with the least n-grams of its own (an original has none that its copies lack, while an edited copy has its edits) is
 compared with the others; then members in random order, in growing blocks, but only with later ones that are still in
 another component. Each pair of a list is thus either compared or already connected; no link is lost. Lists are never
 brought together in one task: hubs come from partial aggregates and are joined to the members.
@@ -32,11 +32,11 @@ Empty tables give empty results; other columns than doc_id and text are not read
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, drop_paths, noted, table, written
@@ -49,12 +49,14 @@ SKETCH = 1 << 16
 FILTER = 1 << 27
 #: Bits of the parity bitmap of a set: toggled once per n-gram, so two bitmaps differ in no more bits than two sets in n-grams.
 PARITY = 1024
+#: Words of the folded bitmap that lists carry.
+FOLD = 4
 #: Fragments that overlaps are counted in, as a power of two.
 FRAGMENT_BITS = 3
 #: Lengths of a band: the next band begins at so many times its least length.
 BAND = 1.5
 #: Hubs per round grow by this factor.
-GROWTH = 64
+GROWTH = 8
 
 
 def bands(most: int) -> np.ndarray:
@@ -268,10 +270,17 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _pairs(joined: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b, na, nb) of joined rows (x, y, nx, ny) whose lengths allow t."""
-    able = joined.where(F.lit(den) * F.least("nx", "ny") >= F.lit(num) * F.greatest("nx", "ny"))
+    """Distinct pairs (a, b, na, nb) of joined rows (x, y, nx, ny, px, py, fx, fy) that may reach t.
+
+    n is a set's length and p how many of its n-grams no other class has, so the overlap is n - p at most for either set,
+    and the sets differ in both p at least. They also differ in as many n-grams as their folded bitmaps f in bits.
+    """
+    length = F.lit(den) * F.least("nx", "ny") >= F.lit(num) * F.greatest("nx", "ny")
+    overlap = F.lit(den + num) * F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= F.lit(num) * (F.col("nx") + F.col("ny"))
+    bits = reduce(Column.__add__, [F.bit_count(F.col("fx")[f"f{i}"].bitwiseXOR(F.col("fy")[f"f{i}"])) for i in range(FOLD)])
+    apart = F.lit(den + num) * F.greatest(F.col("px") + F.col("py"), bits.cast("long")) <= F.lit(den - num) * (F.col("nx") + F.col("ny"))
     swap = F.col("x") > F.col("y")
-    return able.select(*[F.when(swap, F.col(v)).otherwise(F.col(u)).alias(name) for name, u, v in (("a", "x", "y"), ("b", "y", "x"), ("na", "nx", "ny"), ("nb", "ny", "nx"))]).distinct()
+    return joined.where(length & overlap & apart).select(*[F.when(swap, F.col(v)).otherwise(F.col(u)).alias(name) for name, u, v in (("a", "x", "y"), ("b", "y", "x"), ("na", "nx", "ny"), ("nb", "ny", "nx"))]).distinct()
 
 
 def _near_enough(pairs: DataFrame, parity: DataFrame, num: int, den: int) -> DataFrame:
@@ -327,42 +336,54 @@ def linked_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, c
     shared = written(twice, "shared")
     live = written(_signed(docs, cut, common, num, den, sc.broadcast(_filter(shared, "sig"))).dropDuplicates(["sig", "cls"]), "live")
     drop(shared)
-    hub = F.max(F.struct("degree", F.xxhash64("cls").alias("tie"), "cls", "n")).alias("hub")
-    heads = live.groupBy("sig").agg(hub, F.count("*").alias("size")).where("size > 1").select("sig", "size", F.col("hub.cls").alias("x"), F.col("hub.n").alias("nx"))
-    members = written(live.drop("degree").join(heads, "sig").where("cls <> x"), "members")
+    listed = written(live.join(live.groupBy("sig").count().where("count > 1").select("sig"), "sig"), "listed")
     drop(live)
     own = profile.where("bucket is null").select("doc_id", "n", "cls")
-    known = _filter(members.select("cls").unionByName(members.select(F.col("x").alias("cls"))))
-    segments = written(_segments(docs, cut, sc.broadcast(known)), "segments") if known.any() else None
-    labels = None
-    if segments is not None:
-        links = _links(_pairs(members.withColumnsRenamed({"cls": "y", "n": "ny"}), num, den), segments, num, den)
-        labels = _joined(None, links)
-        # From here on lists are without their first hubs, which have met all others.
-        left = members.where("size > 2").select("sig", "cls", "n", "size", (F.abs(F.shiftright(F.xxhash64("cls", F.lit(1)), 1)) / F.lit(float(1 << 62)) * F.col("size")).alias("place"))
-        bound, before = 1, members
-        while True:
-            left = written(_spanning(left, labels), "left")
-            drop(before)
-            longest = left.agg(F.max("size")).first()[0] or 0  # 0 if no list is left
-            if longest <= bound:
-                drop(left)
-                break
+    known = _filter(listed)
+    if not known.any():
+        drop(listed)
+        return own, docs.sparkSession.createDataFrame([], "cls long, root long")
+    segments = written(_segments(docs, cut, sc.broadcast(known)), "segments")
+    hopeful = written(_hopeful(listed, segments, num, den), "hopeful")
+    drop(listed)
+    hub = F.max(F.struct((-F.col("alone") / F.col("n")).alias("kin"), "degree", F.xxhash64("cls").alias("tie"), "cls", "n", "alone", "fold")).alias("hub")
+    heads = hopeful.groupBy("sig").agg(hub, F.count("*").alias("size")).where("size > 1").select("sig", "size", F.col("hub.cls").alias("x"), F.col("hub.n").alias("nx"), F.col("hub.alone").alias("px"), F.col("hub.fold").alias("fx"))
+    members = written(hopeful.drop("degree").join(heads, "sig").where("cls <> x"), "members")
+    drop(hopeful)
+    links = _links(_pairs(members.withColumnsRenamed({"cls": "y", "n": "ny", "alone": "py", "fold": "fy"}), num, den), segments, num, den)
+    labels = _joined(None, links)
+    # From here on lists are without their first hubs, which have met all others.
+    place = F.abs(F.shiftright(F.xxhash64("cls", F.lit(1)), 1)) / F.lit(float(1 << 62)) * F.col("size")
+    left, bound, before = members.where("size > 2").select("sig", "cls", "n", "alone", "fold", "size", place.alias("place")), 1, members
+    while True:
+        left = written(_spanning(left, labels), "left")
+        drop(before)
+        longest = left.agg(F.max("size")).first()[0] or 0  # 0 if no list is left
+        if longest > bound:
             bound *= GROWTH
-            hubs = left.where(F.col("place") < bound).select("sig", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("place").alias("px"))
-            others = left.withColumnsRenamed({"cls": "y", "n": "ny", "comp": "cy", "place": "py"})
-            met = hubs.join(others, "sig").where("cx <> cy and (py > px or py = px and y > x)")
+            hubs = left.where(F.col("place") < bound).select("sig", *[F.col(c).alias(x) for c, x in (("cls", "x"), ("n", "nx"), ("alone", "px"), ("fold", "fx"), ("comp", "cx"), ("place", "at"))])
+            others = left.withColumnsRenamed({"cls": "y", "n": "ny", "alone": "py", "fold": "fy", "comp": "cy"})
+            met = hubs.join(others, "sig").where("cx <> cy and (place > at or place = at and y > x)")
             links = _links(_pairs(met, num, den), segments, num, den)
             labels = labels if links.isEmpty() else _joined(labels, links)
-            if longest <= bound:
-                drop(left)
-                break
-            before, left = left, left.where(F.col("place") >= bound).drop("comp")
-        drop(segments)
-    else:
-        drop(members)
-        labels = docs.sparkSession.createDataFrame([], "cls long, root long")
-    return own, labels
+        if longest <= bound:
+            drop(left, segments)
+            return own, labels
+        before, left = left, left.where(F.col("place") >= bound).drop("comp")
+
+
+def _hopeful(listed: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+    """listed with alone and fold, less classes that have no partner.
+
+    alone is the number of a class's n-grams that no other listed class has. A class that links to any is in a list with
+    it, so these n-grams are missing from all that it may link to. fold is the parity bitmap folded to FOLD words.
+    """
+    spread = segments.where("fragment >= 0").select("cls", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("cls").alias("cls"), F.max("cls").alias("last"))
+    alone = spread.where("cls = last").groupBy("cls").agg(F.count("*").alias("alone"))
+    words = [reduce(Column.bitwiseXOR, [F.col("grams")[j] for j in range(i, PARITY // 64, FOLD)]).alias(f"f{i}") for i in range(FOLD)]
+    folded = segments.where("fragment = -1").dropDuplicates(["cls"]).select("cls", F.struct(*words).alias("fold"))
+    counted = listed.join(folded.join(alone, "cls", "left"), "cls").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    return counted.where(F.lit(den) * (F.col("n") - F.col("alone")) >= F.lit(num) * F.col("n"))
 
 
 def _spanning(lists: DataFrame, labels: DataFrame) -> DataFrame:
