@@ -5,7 +5,9 @@ frequent words and the end token are emitted by the states themselves; every oth
 and then drawn by its own count among tail words, so the model covers any text and sums to 1. Tail counts never reach
 a task whole: they are joined to the texts' tail words by word.
 
-Baum-Welch runs over all training texts, cut into windows; each task adds up expected counts, Spark sums them by
+Baum-Welch runs over all training texts; those of up to WINDOW tokens are taken whole, longer ones in windows of that
+many, so that at most one transition in WINDOW goes uncounted and a later window begins with the state shares within
+texts. Each task adds up expected counts, Spark sums them by
 symbol, and the driver sees HEAD + a few rows per iteration. It starts from a random model and ends when the training
 likelihood has settled; every iteration counts all training texts.
 Scores are exact for whole texts: texts up to LONG tokens run side by side, longer ones as products of the transfer
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,14 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .textkernels import U, Words, lists, slices, text_bytes
 
-HEAD, STATES, WINDOW = 1 << 15, 8, 64
+HEAD, STATES, WINDOW = 1 << 15, 8, 1024
 LONG, CHUNK = 4096, 256
 #: Training has settled when two iterations in a row gain less than so many nats a token.
 SETTLED = 1e-4
+#: Lanes that are worked off side by side, and symbols that a worker gathers for them.
+LANES, BATCH = 1024, 1 << 20
+#: What a place in a lane begins.
+TEXT, LATER = 1, 2
 #: Pseudo-tokens of unigram mass in each state's emissions, besides one for each symbol that the state emits.
 PRIOR = 20.0
 
@@ -173,48 +180,78 @@ def random_start(unigram: np.ndarray, states: int = STATES, seed: int = 11) -> H
 
 
 def windows(syms: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """All texts cut into rows of WINDOW symbols, the last of each filled with pad; which rows begin a text."""
-    counts = np.array([-(-len(s) // WINDOW) for s in syms], np.int64)
-    out = np.full(int(counts.sum()) * WINDOW, pad, np.int64)
-    begin = np.concatenate([[0], np.cumsum(counts)])
-    for s, at in zip(syms, begin[:-1]):
-        out[at * WINDOW : at * WINDOW + len(s)] = s
-    leads = np.zeros(len(out) // WINDOW, bool)
-    leads[begin[:-1][counts > 0]] = True
-    return out.reshape(-1, WINDOW), leads
-
-
-def expected(model: Hmm, rows: np.ndarray, leads: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Forward-backward over windows: expected first states, moves, emissions (size x K), and the log-likelihood."""
+    """Lanes of symbols, and marks of the same shape: TEXT where a text begins, LATER where another window or padding does.
+
+    Texts are cut into windows of WINDOW symbols, and the windows dealt to lanes, the longest first and each to the lane
+    that is shortest so far, so that lanes are about equally long; pad fills them up.
+    """
+    parts = [(s[low : low + WINDOW], LATER if low else TEXT) for s in syms for low in range(0, len(s), WINDOW)]
+    parts.sort(key=lambda part: -len(part[0]))
+    lanes: list[list] = [[] for _ in range(-(-sum(len(s) for s in syms) // WINDOW))]
+    free = [(0, i) for i in range(len(lanes))]
+    for part in parts:
+        used, i = free[0]
+        lanes[i].append(part)
+        heapreplace(free, (used + len(part[0]), i))
+    steps = max((used for used, _ in free), default=0)
+    rows, marks = np.full((len(lanes), steps), pad, np.int32), np.zeros((len(lanes), steps), np.int8)
+    for row, mark, lane in zip(rows, marks, lanes):
+        at = 0
+        for part, kind in lane:
+            row[at : at + len(part)] = part
+            mark[at] = kind
+            at += len(part)
+        if at < steps:
+            mark[at] = LATER
+    return rows, marks
+
+
+def expected(model: Hmm, rows: np.ndarray, marks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Forward-backward over lanes: expected first states, moves, emissions (size x K), and the log-likelihood."""
     k = len(model.start)
     move, one = model.move.astype(np.float32), np.ones((k, 1), np.float32)
     back = np.ascontiguousarray(move.T)
+    begin = np.stack([model.start, model.rest]).astype(np.float32)
     emit = np.vstack([model.emit, np.ones((1, k))]).astype(np.float32)  # padding says nothing
     first, pairs, seen, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((size + 1, k)), 0.0
-    for low in range(0, len(rows), 1024):
-        sym, lead = np.ascontiguousarray(rows[low : low + 1024].T), leads[low : low + 1024]
+    for low in range(0, len(rows), LANES):
+        sym, mark = np.ascontiguousarray(rows[low : low + LANES].T), np.ascontiguousarray(marks[low : low + LANES].T)
         steps, lanes = sym.shape
+        step, lane = np.nonzero(mark)
+        kind, edge = mark[step, lane] - TEXT, np.searchsorted(step, np.arange(steps + 1)).tolist()
         said = emit.take(sym.ravel(), axis=0).reshape(steps, lanes, k)
         alpha, scale = np.empty((steps, lanes, k), np.float32), np.empty((steps, lanes, 1), np.float32)
-        alpha[0] = np.where(lead[:, None], model.start, model.rest)
         for t in range(steps):
             now = np.matmul(alpha[t - 1], move, out=alpha[t]) if t else alpha[0]
+            new = slice(edge[t], edge[t + 1])
+            if edge[t] < edge[t + 1]:
+                now[lane[new]] = begin[kind[new]]
             now *= said[t]
             now /= np.matmul(now, one, out=scale[t])
         likelihood += float(np.log(scale).sum(dtype=float))
         said /= scale
         inside = sym < size
-        whole = inside.all()
+        whole = inside.all(axis=1).tolist()
         beta = np.ones((lanes, k), np.float32)
         for t in range(steps - 2, -1, -1):
             ahead = np.multiply(beta, said[t + 1], out=said[t + 1])
-            pairs += (alpha[t].T @ (ahead if whole else ahead * inside[t + 1][:, None])) * move
+            new = lane[edge[t + 1] : edge[t + 2]]
+            if len(new):
+                ahead[new] = 0
+            pairs += (alpha[t].T @ (ahead if whole[t + 1] else ahead * inside[t + 1][:, None])) * move
             np.matmul(ahead, back, out=beta)
+            if len(new):
+                beta[new] = 1
             alpha[t] *= beta
-        first += alpha[0][lead].sum(axis=0)
-        flat, by_state = sym.ravel(), alpha.reshape(-1, k).T.astype(float, order="C")
+            if not t % 16:  # single precision drifts
+                total = np.matmul(alpha[t], one)
+                alpha[t] /= total
+                beta /= total
+        leads = kind == 0
+        first += alpha[step[leads], lane[leads]].sum(axis=0, dtype=float)
+        flat, by_state = sym.ravel(), alpha.reshape(-1, k)
         for state in range(k):
-            seen[:, state] += np.bincount(flat, weights=by_state[state], minlength=size + 1)
+            seen[:, state] += np.bincount(flat, weights=by_state[:, state], minlength=size + 1)
     return first, pairs, seen[:size], likelihood
 
 
@@ -238,9 +275,9 @@ def _counts_over(encoded: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray,
 
         for batch in batches:
             for value in batch.column("syms"):
-                held.append(np.frombuffer(value.as_buffer(), np.uint16).astype(np.int64))
+                held.append(np.frombuffer(value.as_buffer(), np.uint16))
                 weight += len(held[-1])
-                if weight > 1 << 19:
+                if weight > BATCH:
                     add()
                     held, weight = [], 0
         if held:
