@@ -8,7 +8,9 @@ stands before the place, for that match ends in a non-space character there. So
 place whatever surrounds it, tokens outside the window are final, and only the window's tokens are exchanged. A text
 without any such place is one window, so the result is always that of the encoder on the whole text.
 
-Nulls and empty texts have no tokens. Decoding maps leaves of ids to bytes and concatenates them up the tree.
+Nulls and empty texts have no tokens. Decoding maps leaves of ids to bytes and concatenates them up the tree. Repeated
+rows come back once each, empty tables give empty results, and other columns than those asked for are not read; ids,
+n_tokens and round_trip replace columns of these names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .common import table
 from .textkernels import slices, text_bytes
 
 #: Characters of a leaf and ids of a decoding leaf; texts up to a leaf need no join.
-LEAF = 1 << 14
+LEAF = 512
 #: First reach of a seam's window on either side; it doubles until the window ends in safe places.
 REACH = 64
 
@@ -100,6 +102,7 @@ def coded(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFram
     Encoding and decoding run in one pass over slices of a few megabytes of text, so a worker holds the ids of a slice
     only. Null text gives empty ids.
     """
+    keep = [c for c in keep if c not in ("ids", "n_tokens", "round_trip")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(path, pattern)
