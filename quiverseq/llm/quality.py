@@ -8,7 +8,9 @@ x holds, for the whole text: each distinct lower-cased word (hashed, 1 if presen
 
 The model is fitted on a bounded sample of rated documents (PER_GRADE of each grade, those with the least hashes of
 doc_id), weighted back to the grades' true shares over all ratings. Documents whose ratings differ count with their least grade;
-null ratings are left out. Without two grades there is nothing to learn and every document is kept. Null text is empty text.
+null ratings are left out. Without two grades there is nothing to learn and every document is kept; if no rating reaches
+the least grade to keep, the highest rated grade takes its place. Words in fewer than LEAST_DOCS sampled documents, or
+less than LEAST_SHARE of them, get no weight: they are too few to tell grades apart. Null text is empty text.
 Empty tables give empty results; repeated rows are judged alike; extra columns pass through.
 """
 
@@ -30,6 +32,8 @@ DIM = 1 << 16
 SHAPES, CLASSES = 32, 8
 DENSE = SHAPES + 2 * CLASSES
 PER_GRADE = 6_000
+#: Documents of the sample, and their share of it, that a word needs for a weight.
+LEAST_DOCS, LEAST_SHARE = 3, 1 / 900
 STEPS, L2, RATE = 250, 2e-4, 0.05
 
 UPPER, DIGIT, PUNCT = (np.zeros(256, np.int64) for _ in range(3))
@@ -79,9 +83,9 @@ class CumulativeLink:
 
 
 def fit(row: np.ndarray, slot: np.ndarray, dense: np.ndarray, grade: np.ndarray, share: np.ndarray) -> CumulativeLink:
-    """Maximum penalised likelihood by Adam on the full sample; share is each row's weight. Rare words get no weight."""
+    """Maximum penalised likelihood by Adam on the full sample; share is each row's weight."""
     grades = int(grade.max()) + 1
-    common = np.bincount(slot, minlength=DIM) >= max(3, len(dense) // 900)
+    common = np.bincount(slot, minlength=DIM) >= max(LEAST_DOCS, len(dense) * LEAST_SHARE)
     row, slot = row[common[slot]], slot[common[slot]]
     share = share / share.sum()
     w, base = np.zeros(DIM + DENSE), np.zeros(grades - 1)
@@ -126,18 +130,19 @@ def trained(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE) ->
         for batch in batches:
             slots, dense = [], []
             for row, slot, shape in features(batch.column("text")):
-                slots += np.split(slot.astype(np.int32), np.searchsorted(row, np.arange(1, len(shape))))
+                slots += np.split(slot.astype(np.uint16), np.searchsorted(row, np.arange(1, len(shape))))
                 dense += list(shape.astype(np.float32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([s.tobytes() for s in slots], pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary())], ["doc_id", "grade", "slots", "dense"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sorted(texts.mapInArrow(run, f"doc_id {kind}, grade int, slots binary, dense binary").collect(), key=lambda r: (r["doc_id"], r["grade"], bytes(r["slots"])))
-    levels = sorted({r["grade"] for r in rows})
-    if len(levels) < 2:
+    found = texts.mapInArrow(run, f"doc_id {kind}, grade int, slots binary, dense binary").toArrow()  # per_grade rows of each grade, of 2 x DIM bytes at most
+    ids, grade, packed = found.column("doc_id").to_pylist(), found.column("grade").to_pylist(), found.column("slots").to_pylist()
+    rows = sorted(range(len(ids)), key=lambda i: (ids[i], grade[i], packed[i]))  # so that the order of tasks changes nothing
+    grade = np.array(grade, np.int64)[rows]
+    if len(set(grade.tolist())) < 2:
         return None
-    slots = [np.frombuffer(r["slots"], np.int32) for r in rows]
-    dense = np.stack([np.frombuffer(r["dense"], np.float32) for r in rows]).astype(float)
-    grade = np.array([r["grade"] for r in rows])
+    slots = [np.frombuffer(packed[i], np.uint16) for i in rows]
+    dense = np.stack([np.frombuffer(x, np.float32) for x in found.column("dense").to_pylist()]).astype(float)[rows]
     counts = np.bincount(grade)
     share = np.array([sizes[g] / counts[g] for g in grade])
     return fit(np.repeat(np.arange(len(rows)), [len(s) for s in slots]), np.concatenate(slots).astype(np.int64), dense, grade, share)
@@ -146,7 +151,7 @@ def trained(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE) ->
 def rated(docs: DataFrame, model: CumulativeLink | None, least: int = 2, cut: float = 0.5) -> DataFrame:
     """All rows and columns of docs, with expected_grade, tail = P(grade >= least), and keep = tail >= cut.
 
-    Without a model: null, null and true. Columns of these names are replaced.
+    least is the highest rated grade if that is lower. Without a model: null, null and true. Columns of these names are replaced.
     """
     docs = docs.drop("expected_grade", "tail", "keep")
     if model is None:
@@ -160,7 +165,7 @@ def rated(docs: DataFrame, model: CumulativeLink | None, least: int = 2, cut: fl
         for row, slot, dense in features(column):
             tails = shared.value.tails(shared.value.linear(row, slot, dense))
             expected.append(tails.sum(axis=1))
-            tail.append(tails[:, least - 1] if least <= tails.shape[1] else np.zeros(len(tails)))
+            tail.append(tails[:, min(least, tails.shape[1]) - 1])
         columns = [pa.array(np.round(np.concatenate(x), 6) if x else [], pa.float64()) for x in (expected, tail)]
         return pa.StructArray.from_arrays(columns, ["expected_grade", "tail"])
 
