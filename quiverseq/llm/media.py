@@ -7,7 +7,8 @@ by digest; positions and captions stay with their references. Copies thus cost o
 a third of all documents refer to joins small rows, which Spark may split.
 
 Null text is empty; an empty payload is 576 bytes of 255. A reference to an unknown digest keeps its place with null
-features. Null HTML gives an empty sequence.
+features. Null HTML gives an empty sequence. Repeated rows come back once each, empty tables give empty results, and
+other columns than those named are not read.
 """
 
 from __future__ import annotations
@@ -203,6 +204,41 @@ def resolved(pages: DataFrame, features: DataFrame, key: str) -> DataFrame:
     return refs.join(features, "digest", "left")
 
 
+def interleaved(pages: DataFrame, features: DataFrame, key: str) -> DataFrame:
+    """key and sequence: every row's pieces in order, each media reference with its payload's features (null if unknown).
+
+    Text stays where it is; only references travel to the features, by digest, and back, as one map for each key.
+    """
+    held = F.struct("n_bytes", "payload_sha256", "feature").alias("payload")
+    known = resolved(pages, features, key).where("feature is not null").select(key, "digest", held).distinct()
+    found = known.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("digest", "payload"))).alias("_found"))
+    joined = pages.select(F.col(key).alias("_key"), "pieces").join(found, F.col("_key").eqNullSafe(F.col(key)), "left")
+    whole = F.transform("pieces", lambda p: F.struct(p["position"].alias("position"), p["kind"].alias("kind"), p["text"].alias("text"), p["digest"].alias("digest"), p["caption"].alias("caption"), F.try_element_at("_found", p["digest"]).alias("payload")))
+    return joined.select(F.col("_key").alias(key), whole.alias("sequence"))
+
+
+def page_sequences(spark, sf_dir: str) -> DataFrame:
+    """Every page's HTML as an ordered sequence: page_id, n_pieces, n_media, n_resolved, text_sha256 of its text pieces.
+
+    The pages refer to no media, so each gets, before its closing article or at its end, a figure of the document whose
+    number is the page's, which is stored and resolved by digest.
+    """
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages").select("page_id", "html")
+    data = text_or_empty().cast("binary")
+    shown = docs.select(F.col("doc_id").alias("page_id"), F.sha2(data, 256).alias("digest"), data.alias("data")).join(pages.select("page_id").distinct(), "page_id", "left_semi")
+    features = written(described(store(shown)), "media-features")
+    named = shown.groupBy("page_id").agg(F.min("digest").alias("digest"))
+    figure = F.concat(F.lit('<figure><img src="digest:'), F.coalesce("digest", F.lit("none")), F.lit('"><figcaption>page '), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit("</figcaption></figure>"))
+    cut = F.locate("</article>", F.coalesce("html", F.lit("")))
+    given = F.coalesce("html", F.lit(""))
+    place = F.when(cut > 0, cut - 1).otherwise(F.length(given))
+    html = F.concat(F.substring(given, F.lit(1), place), figure, F.substring(given, place + 1, F.length(given)))
+    whole = interleaved(sequences(pages.join(named, "page_id", "left").select("page_id", html.alias("html"))), features, "page_id")
+    kind = lambda name: F.filter("sequence", lambda p: p["kind"] == name)
+    text = F.array_join(F.transform(kind("text"), lambda p: p["text"]), "\n")
+    return whole.select("page_id", F.size("sequence").alias("n_pieces"), F.size(kind("media")).alias("n_media"), F.size(F.filter("sequence", lambda p: p["payload"].isNotNull())).alias("n_resolved"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op7_media(spark, sf_dir: str) -> DataFrame:
     """Every document's bytes as a stored image, referred to by digest from an HTML page, parsed and resolved."""
     docs = table(spark, sf_dir, "documents")

@@ -6,7 +6,8 @@ boundary that a document's interval crosses. Documents are ordered by size, so e
 evenly and the words taken stay close to the target.
 
 Nulls: a null source is a source of its own, sorted last; null text has size 0. Empty tables give empty results.
-Repeated rows each count and each are sampled. A source without words has target 0 and nothing taken.
+Repeated rows each count and each are sampled. A source without words has target 0 and nothing taken. Extra columns pass
+through; source_size, target and n_copies replace columns of these names.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def systematic_copies(docs: DataFrame, targets: DataFrame, key: str = "doc_id",
     (source, class, lane) only. A source or a size with a third of all rows thus spreads over its lanes. The order is by
     (class, lane, size, key); seed and source fix the offset, so reruns agree.
     """
-    cells = docs.withColumns({"_s": named(source), "_class": F.floor(F.log(F.col("size") + F.lit(1.0)) * 16), "_lane": F.pmod(stable_key(key), F.lit(lanes))})
+    cells = docs.drop("source_size", "target", "n_copies", "copies").withColumns({"_s": named(source), "_class": F.floor(F.log(F.col("size") + F.lit(1.0)) * 16), "_lane": F.pmod(stable_key(key), F.lit(lanes))})
     counts = cells.groupBy("_s", "_class", "_lane").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_s").orderBy("_class", "_lane").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

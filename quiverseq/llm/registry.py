@@ -6,15 +6,14 @@ from .bpe import op10_bpe
 from .hmm import op9_hmm
 from .jaccard import OP2_SQL, op2_jaccard
 from .linededup import OP4_SQL, op4_line_dedup
-from .media import op7_media
+from .media import op7_media, page_sequences
 from .mixing import OP8_SQL, op8_mixing
 from .quality import op3_quality
 from .sharding import op5_sharding
-from .spotsigs import op6_fingerprints
+from .spotsigs import op6_fingerprints, spotsigs_classes
 from .urlfilter import op1_url_filter
 
 
-
 def _pipeline(spark, sf_dir: str):
     """The whole corpus pipeline at the repository's top."""
     import corpus_pipeline
@@ -33,6 +32,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_hmm": op9_hmm,
     "op10_bpe": op10_bpe,
+    "spotsigs_classes": spotsigs_classes,
+    "page_sequences": page_sequences,
     "pipeline": _pipeline,
 }
 

@@ -2,7 +2,9 @@
 
 The published jump hash (Lamping and Veach) steps a 64-bit linear congruential generator and jumps forward
 through bucket numbers; it needs no ring table, and when a shard is appended only the keys that belong in the
-new shard move. Spark's long multiplication raises on overflow, so the generator runs on two 32-bit halves.
+new shard move. Spark's long multiplication raises on overflow, so the generator runs on two 32-bit halves. Empty tables
+give empty results; the query reads doc_id and text alone, and shard_by_key and with_slots replace shard, grown_shard
+and slot.
 """
 
 from __future__ import annotations

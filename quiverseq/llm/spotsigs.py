@@ -10,8 +10,9 @@ A stretch of FREE words or more in which no word begins a chain (texts of small
 words, whose words are none of the corpus's most frequent) has a signature at each of its places instead: of the word
 there and the next ones, as many as in a chain. So every FREE words in sequence give a signature of their own, and an
 edit changes signatures near it alone. A shorter text without any full anchor but with words has one signature, of its
-whole word sequence. Null, empty and blank texts have the empty fingerprint; two empty ones are alike (1), an empty and another are not (0). Near the end of a text
-a chain may be shorter.
+whole word sequence. Null, empty and blank texts have the empty fingerprint; two empty ones are alike (1), an empty and
+another are not (0). Near the end of a text a chain may be shorter. Repeated rows come back once each, empty tables give
+empty results, and other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -261,3 +262,8 @@ def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
     """All documents by the 64 most frequent words of the corpus as anchors and chains of two content words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fingerprints(docs, [h for h, _, _ in common_words(docs)])
+
+
+def spotsigs_classes(spark, sf_dir: str) -> DataFrame:
+    """All documents by the length-partitioned, pruned join of their signature sets at a similarity of 0.8 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))

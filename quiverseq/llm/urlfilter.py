@@ -8,7 +8,8 @@ from training.
 Training URLs are those that the rules decide. A rule such as example.com/en/ fits its host and all subdomains, if the
 path starts with the rule's; the longest rule wins. Null URLs and those without "://" have empty host and path; they
 have no evidence and keep the default verdict, allow. If rules decide no URL of one kind, no ratio exists and all the
-rest is allowed. Repeated rows are judged alike.
+rest is allowed. Repeated rows are judged alike. Empty tables give empty results. Extra columns pass through; host, path,
+rule, verdict, score, seen and ruling are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def judged(pages: DataFrame, url: str = "url", rules=RULES, sample: int = SAMPLE
         values = shared.value.score(texts) if shared.value else np.zeros(len(texts))
         return type(column)(np.where([len(t) > 0 for t in texts], values, 0.0))
 
-    scored = rows.withColumn("score", score("seen"))
+    scored = rows.withColumn("score", score(F.when(F.col("ruling").isNull(), F.col("seen"))))
     own = F.when(F.col("score") >= 0, F.lit("allow")).otherwise(F.lit("block"))
     return scored.withColumns({"verdict": F.coalesce("ruling", own), "score": F.when(F.col("ruling").isNull(), F.col("score"))}).drop("seen", "ruling")
 
