@@ -252,3 +252,46 @@ def test_pipeline_keeps_a_long_passage_once(spark, tmp_path):
             assert (r["text"], r["source"]) == (kept, source)
             if not lines_first:
                 assert r["n_chars"] == (n if kept == text else len(kept))
+
+
+def test_sequences_are_put_together_again(spark):
+    html = "<p>a</p><figure><img src='digest:k1'><figcaption>one</figcaption></figure><p>b</p><img src='digest:k2'><p>c</p>"
+    pages = media.sequences(spark.createDataFrame([(1, html), (2, "<p>x</p>"), (3, None), (None, "<img src='digest:k1'>")], "page_id int, html string"))
+    features = media.described(media.store(spark.createDataFrame([("k1", b"abc")], "digest string, data binary")))
+    found = {r["page_id"]: r["sequence"] for r in media.interleaved(pages, features, "page_id").collect()}
+    assert [(p["position"], p["kind"], p["text"] or p["digest"], p["caption"], p["payload"] and p["payload"]["n_bytes"]) for p in found[1]] == [
+        (0, "text", "a", None, None), (1, "media", "k1", "one", 3), (2, "text", "b", None, None), (3, "media", "k2", None, None), (4, "text", "c", None, None),
+    ]
+    assert [p["text"] for p in found[2]] == ["x"] and found[3] == [] and len(found) == 4
+
+
+def test_pages_keep_their_text_and_resolve_their_figure(spark):
+    rows = {r["page_id"]: r for r in media.page_sequences(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    docs = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    assert len(rows) == len(pages)
+    for page in pages:
+        texts = [p["text"] for p in media.parse(page["html"]) if p["kind"] == "text"]
+        r = rows[page["page_id"]]
+        assert (r["n_media"], r["n_resolved"]) == (1, int(page["page_id"] in docs))
+        assert r["text_sha256"] == hashlib.sha256("\n".join(texts).encode()).hexdigest() and r["n_pieces"] == len(texts) + 1
+
+
+def test_shards_of_the_query_are_the_published_ones(spark):
+    rows = registry.QUERIES["op5_sharding"](spark, SF).collect()
+    for r in rows:
+        key = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:15], 16)
+        assert (r["shard"], r["grown_shard"]) == (jump(key, 16), jump(key, 17))
+
+
+def test_fingerprints_are_alike_by_their_jaccard(spark):
+    import base64
+
+    sigs = lambda s: {base64.b64decode(s)[i : i + 4] for i in range(0, len(base64.b64decode(s)), 4)}
+    alike = lambda a, b: len(a & b) / len(a | b) if a and b else float(len(a) == len(b))
+    rows = {r["doc_id"]: r for r in spotsigs.op6_fingerprints(spark, SF).collect()}
+    order = sorted(rows, reverse=True)
+    for i, following in zip(order, [*order[1:], order[0]]):
+        own = sigs(rows[i]["fingerprint"])
+        assert rows[i]["near_edited"] == pytest.approx(alike(own, sigs(rows[i]["edited_fingerprint"])))
+        assert rows[i]["near_next"] == pytest.approx(alike(own, sigs(rows[following]["fingerprint"])))

@@ -286,3 +286,84 @@ def test_training_counts_all_rows_until_it_settles(spark, monkeypatch):
     assert steps[0][-1] < steps[-1][-1] and len(gains) > 3 and max(gains[-2:]) < hmm.SETTLED * tokens
     # No sequence of two small gains came before.
     assert all(max(pair) >= hmm.SETTLED * tokens for pair in zip(gains[:-2], gains[1:-1]))
+
+
+def test_bpe_query_equals_the_library(spark, coder):
+    from hashlib import sha256
+
+    rows = {r["doc_id"]: r for r in bpe.op10_bpe(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert len(rows) == len(docs) and any(len(d["text"] or "") > 4 * bpe.LEAF for d in docs)
+    for d in docs:
+        ids = coder.encode_ordinary(d["text"] or "")
+        expected = (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256((d["text"] or "").encode()).hexdigest())
+        assert (rows[d["doc_id"]]["n_tokens"], rows[d["doc_id"]]["ids_sha256"], rows[d["doc_id"]]["decoded_sha256"]) == expected
+
+
+def test_lanes_hold_whole_texts_and_count_as_each_text_alone(monkeypatch):
+    monkeypatch.setattr(hmm, "WINDOW", 12)
+    monkeypatch.setattr(hmm, "LANES", 3)
+    rng = np.random.default_rng(8)
+    model = hmm.random_start(np.ones(5) / 5, 3)
+    texts = [rng.integers(0, 5, n) for n in rng.integers(1, 13, 30)]
+    together = hmm.expected(model, *hmm.windows(texts, 5), 5)
+    alone = [hmm.expected(model, *hmm.windows([t], 5), 5) for t in texts]
+    for i in range(4):
+        assert np.allclose(together[i], sum(a[i] for a in alone), rtol=1e-4)
+    assert together[3] == pytest.approx(sum(brute_likelihood(model, t) for t in texts), rel=1e-4)
+
+
+def test_quality_follows_the_likelihood_and_its_maximum():
+    """The fitted weights stand where the penalised likelihood, written out plainly, is flat."""
+    rng = np.random.default_rng(10)
+    n = 120
+    grade = rng.integers(0, 3, n)
+    row, slot = np.repeat(np.arange(n), 2), rng.integers(0, 6, 2 * n)
+    slot[::2] = np.where(rng.random(n) < 0.6, grade, slot[::2])
+    model = quality.fit(row, slot, np.zeros((n, quality.DENSE)), grade, np.ones(n))
+
+    def loss(weights, cuts):
+        total = 0.5 * quality.L2 * (weights**2).sum()
+        for i in range(n):
+            z = sum(weights[s] for s in slot[2 * i : 2 * i + 2])
+            tails = [1.0, *(1 / (1 + math.exp(c - z)) for c in cuts), 0.0]
+            total -= math.log(tails[grade[i]] - tails[grade[i] + 1]) / n
+        return total
+
+    weights, cuts = model.weights[:6], model.thresholds
+    best = loss(weights, cuts)
+    for j in range(6):
+        for step in (-0.2, 0.2):
+            assert loss(weights + step * (np.arange(6) == j), cuts) > best - 1e-4
+    for step in ([0.2, 0.2], [-0.2, 0], [0, 0.2]):
+        assert loss(weights, cuts + np.array(step)) > best - 1e-4
+    z = np.array([0.3, -1.0])
+    assert np.allclose(model.tails(z), 1 / (1 + np.exp(cuts[None, :] - z[:, None])))
+
+
+def test_markov_ratio_against_counts():
+    """Witten-Bell probabilities by dictionaries, and the verdict by the two models' difference."""
+    kinds = [[b"shop-a", b"shop-b", b"shop"], [b"news", b"new-a"]]
+
+    def p(texts, order, before, byte):
+        if order < 0:
+            return 1 / 256
+        context = (b"\x02" * 7 + before)[len(before) + 7 - order :] if order else b""
+        follow = [(b"\x02" * 7 + t)[i + 7] for t in texts for i in range(len(t)) if (b"\x02" * 7 + t)[i + 7 - order : i + 7] == context]
+        lower = p(texts, order - 1, before, byte)
+        return (follow.count(byte) + len(set(follow)) * lower) / (len(follow) + len(set(follow))) if follow else lower
+
+    for texts in kinds:
+        model = urlfilter.MarkovModel(texts, 3)
+        for url in (b"shop-news", b"new", b"zz"):
+            assert model.log_likelihoods([url])[0] == pytest.approx(sum(math.log(p(texts, 3, url[:i], url[i])) for i in range(len(url))))
+    ratio = urlfilter.UrlRatio(*kinds, order=3)
+    allow, block = (m.log_likelihoods([b"shop-x"])[0] for m in ratio.models)
+    assert ratio.score([b"shop-x"])[0] == pytest.approx((allow - block) / 6 - ratio.threshold)
+
+
+def test_only_low_grades_still_keep_the_better_ones(spark):
+    docs = [(i, ("good words here " if i % 2 else "bad noise there ") * 5) for i in range(60)]
+    model = quality.trained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, grade int"))
+    rows = quality.rated(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()
+    assert {r["doc_id"] for r in rows if r["keep"]} == set(range(1, 60, 2))
