@@ -18,6 +18,8 @@ def _items(data: bytes, at: int, end: int, open_ended: bool) -> tuple[list, int]
     while at < end:
         if open_ended and data[at : at + 2] == b"\0\0":
             return found, at + 2
+        if at + 2 > end:
+            raise ValueError("the def-line data ends early")
         tag, size = data[at], data[at + 1]
         at += 2
         if size == 0x80:
@@ -26,6 +28,8 @@ def _items(data: bytes, at: int, end: int, open_ended: bool) -> tuple[list, int]
             continue
         if size > 0x80:
             wide = size & 0x7F
+            if at + wide > end:
+                raise ValueError("the def-line data ends early")
             size = int.from_bytes(data[at : at + wide], "big")
             at += wide
         if at + size > end:

@@ -1,6 +1,7 @@
 """BLAST version 4 databases as a Spark data source: volumes, alias files, membership masks, taxid lists.
 
-read_database() gives one row per sequence: seqno (over all volumes), volume, residues, length, deflines, masked. Volumes are cut
+read_database() gives one row per sequence: seqno (over all volumes), volume, residues, length, deflines, masked. A volume's
+mask is the one that the alias naming the volume names, and its bits are the volume's own numbers. Volumes are cut
 into ranges of sequences, one input partition each, so readers seek to their part; files must lie where all executors
 see them. The driver reads no more than each volume's fixed header.
 """
@@ -13,6 +14,7 @@ import struct
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,8 +22,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from quiverseq.functions.alphabets import NUCLEOTIDE, PROTEIN
 from quiverseq.sources.asn1 import DEFLINES, deflines
 
-SCHEMA = f"volume int, oid long, residues string, length int, deflines {DEFLINES}"
+SCHEMA = f"seqno long, volume int, residues string, length int, deflines {DEFLINES}, masked boolean"
+#: SCHEMA as Arrow types.
+LINE = pa.struct([("ids", pa.list_(pa.string())), ("gi", pa.int64()), ("title", pa.string()), ("taxid", pa.int64()), ("memberships", pa.int64()), ("links", pa.int64())])
+ARROW = pa.schema([("seqno", pa.int64()), ("volume", pa.int32()), ("residues", pa.string()), ("length", pa.int32()), ("deflines", pa.list_(LINE)), ("masked", pa.bool_())])
 RANGE = 20_000
+#: Sequences and residues of an Arrow batch at most (one sequence may be longer).
+ROWS, RESIDUES = 1024, 1 << 22
 
 
 @dataclass
@@ -98,20 +105,40 @@ def read_alias(base: str, protein: bool) -> Alias | None:
     return alias
 
 
-def volumes_of(base: str, protein: bool) -> tuple[Alias | None, list[tuple[Alias | None, Volume]]]:
-    """The alias if any, and all volumes with the nested alias each came by; one level of nesting."""
+@dataclass
+class Masked:
+    """A volume, the number of its first sequence over all volumes, and its mask file with the last number that may pass."""
+
+    volume: Volume
+    start: int
+    mask: str | None = None
+    max_oid: int = 0
+
+
+def volumes_of(base: str, protein: bool) -> list[Masked]:
+    """All volumes in order; aliases nest one level deep.
+
+    Masks apply if the outer alias has a membership bit. Each volume's mask then comes from the alias that names it, which
+    must name that one volume and that one mask; an outer alias that names volumes itself but no mask asks for none.
+    """
     top = read_alias(base, protein)
     if top is None:
-        return None, [(None, open_volume(base, protein))]
-    folder, found = os.path.dirname(base), []
+        return [Masked(open_volume(base, protein), 0)]
+    folder = os.path.dirname(base)
+    named = []
     for name in top.volumes:
         inner_base = os.path.join(folder, name)
         inner = read_alias(inner_base, protein)
-        if inner is None:
-            found.append((top, open_volume(inner_base, protein)))
-        else:
-            found += [(inner, open_volume(os.path.join(os.path.dirname(inner_base), n), protein)) for n in inner.volumes]
-    return top, found
+        named += [(top, inner_base)] if inner is None else [(inner, os.path.join(os.path.dirname(inner_base), n)) for n in inner.volumes]
+    masks = top.membership_bit and not any(alias is top and not top.masks for alias, _ in named)
+    found, start = [], 0
+    for alias, path in named:
+        if masks and (len(alias.volumes), len(alias.masks)) != (1, 1):
+            raise ValueError("an alias with a mask must name one volume and one mask")
+        volume = open_volume(path, protein)
+        found.append(Masked(volume, start, os.path.join(folder, alias.masks[0]), alias.max_oid) if masks else Masked(volume, start))
+        start += volume.sequences
+    return found
 
 
 def unpack_nucleotides(packed: bytes, ambiguities: bytes) -> str:
@@ -131,7 +158,7 @@ def unpack_nucleotides(packed: bytes, ambiguities: bytes) -> str:
 @dataclass
 class _Range(InputPartition):
     number: int
-    volume: Volume
+    source: Masked
     first: int
     last: int
 
@@ -143,14 +170,27 @@ class _Reader(DataSourceReader):
         self.step = int(options.get("range", RANGE))
 
     def partitions(self):
-        return [_Range(i, v, low, min(low + self.step, v.sequences)) for i, (_, v) in enumerate(volumes_of(self.base, self.protein)[1]) for low in range(0, v.sequences, self.step)]
+        return [_Range(i, m, low, min(low + self.step, m.volume.sequences)) for i, m in enumerate(volumes_of(self.base, self.protein)) for low in range(0, m.volume.sequences, self.step)]
 
     def read(self, part):
-        v, first, last = part.volume, part.first, part.last
+        rows, held = [], 0
+        for row in self._rows(part):
+            rows.append(dict(zip(ARROW.names, row)))
+            held += row[3]
+            if len(rows) == ROWS or held > RESIDUES:
+                yield pa.RecordBatch.from_pylist(rows, ARROW)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, ARROW)
+
+    def _rows(self, part):
+        v, first, last = part.source.volume, part.first, part.last
         at = v.offsets(1, first, last)
         spoiled = None if v.protein else v.offsets(2, first, last)
         names_at = v.offsets(0, first, last) if self.headers else None
+        passes = read_mask(part.source.mask, part.source.max_oid, first, last) if part.source.mask else np.ones(last - first, bool)
         symbols = np.frombuffer(PROTEIN.ljust(256, "-").encode(), np.uint8)
+        keys = ("ids", "gi", "title", "taxid", "memberships", "links")
         with open(v.file("sq"), "rb") as body, open(v.file("hr"), "rb") as header:
             for i in range(last - first):
                 body.seek(at[i])
@@ -162,8 +202,8 @@ class _Reader(DataSourceReader):
                 lines = None
                 if names_at is not None:
                     header.seek(names_at[i])
-                    lines = [(d["ids"], d["gi"], d["title"], d["taxid"], d["memberships"], d["links"]) for d in deflines(header.read(names_at[i + 1] - names_at[i]))]
-                yield part.number, first + i, residues, len(residues), lines
+                    lines = [{k: d[k] for k in keys} for d in deflines(header.read(names_at[i + 1] - names_at[i]))]
+                yield part.source.start + first + i, part.number, residues, len(residues), lines, bool(passes[i])
 
 
 class BlastDatabase(DataSource):
@@ -180,29 +220,27 @@ class BlastDatabase(DataSource):
         return _Reader(self.options)
 
 
-def read_mask(path: str, max_oid: int) -> np.ndarray:
-    """Ordinals set in a mask file: a 4-byte header, then bits from the most significant on."""
+def read_mask(path: str, max_oid: int, first: int, last: int) -> np.ndarray:
+    """Whether sequences first to last - 1 of a volume pass: a 4-byte header, then bits from the most significant on; none beyond max_oid."""
     with open(path, "rb") as mask:
-        bits = np.unpackbits(np.frombuffer(mask.read()[4:], np.uint8))
-    return np.flatnonzero(bits[: max_oid + 1])
+        mask.seek(4 + (first >> 3))
+        bits = np.unpackbits(np.frombuffer(mask.read((last + 7 >> 3) - (first >> 3)), np.uint8))
+    out = np.zeros(last - first, bool)
+    own = bits[first & 7 :][: max(min(last, max_oid + 1) - first, 0)]
+    out[: len(own)] = own
+    return out
 
 
 def read_database(spark: SparkSession, base: str, protein: bool = True, headers: bool = True) -> DataFrame:
-    """All sequences with their global number and, where an alias names masks, whether they pass."""
+    """All sequences with their number over all volumes and, where aliases name masks, whether they pass."""
     spark.dataSource.register(BlastDatabase)
-    top, volumes = volumes_of(base, protein)
-    rows = spark.read.format("blastdb").option("protein", str(protein).lower()).option("headers", str(headers).lower()).load(base)
-    starts = np.concatenate([[0], np.cumsum([v.sequences for _, v in volumes])])
-    offset = F.element_at(F.array(*[F.lit(int(s)) for s in starts[:-1]]), F.col("volume") + 1)
-    rows = rows.withColumn("seqno", (offset + F.col("oid")).cast("long"))
-    alias = top if top and top.masks else None
-    if alias and alias.membership_bit:
-        passing = np.concatenate([read_mask(os.path.join(os.path.dirname(base), m), alias.max_oid) for m in alias.masks])
-        mask = spark.createDataFrame([(int(x),) for x in passing], "seqno long").withColumn("masked", F.lit(True))
-        rows = rows.join(mask, "seqno", "left").withColumn("masked", F.coalesce("masked", F.lit(False)))
-    else:
-        rows = rows.withColumn("masked", F.lit(True))
-    return rows.select("seqno", "volume", "residues", "length", "deflines", "masked")
+    return spark.read.format("blastdb").option("protein", str(protein).lower()).option("headers", str(headers).lower()).load(base)
+
+
+def with_taxids(rows: DataFrame, taxids: DataFrame) -> DataFrame:
+    """The sequences of rows (seqno, deflines, ...) that have a def-line of one of the taxids, by a semi-join."""
+    own = rows.select("seqno", F.explode("deflines").alias("line")).select("seqno", F.col("line.taxid").alias("taxid"))
+    return rows.join(own.join(taxids.select("taxid"), "taxid", "left_semi").select("seqno").distinct(), "seqno", "left_semi")
 
 
 def read_taxids(spark: SparkSession, path: str) -> DataFrame:

@@ -90,21 +90,43 @@ def test_identifiers_and_deflines():
     assert third["title"] == "x" * 300
     assert asn1.text(first) == "gb|A1.2|NAME a title"
     assert asn1.text(first, show_gis=True, show_taxid=True) == "gi|77|gb|A1.2|NAME|taxid|9606|link|4|memb|1 a title"
-    with pytest.raises(ValueError):
-        asn1.deflines(data[:-5])
+    for cut in range(1, len(data)):
+        with pytest.raises(ValueError):
+            asn1.deflines(data[:cut])
 
 
 def test_protein_database_with_volumes_and_mask(spark, tmp_path):
     sequences = [["MKVL*", "ACDEFGHIKLMNPQRSTVWYBZXUOJ"], ["GG", "WWW", "AA"]]
     for v, part in enumerate(sequences):
-        write_volume(str(tmp_path / f"vol.{v:02}"), True, part, [headed(defline([text_id(4, f"A{v}{i}")], f"title {i}", 9606)) for i in range(len(part))])
-    (tmp_path / "db.pal").write_text('TITLE all of it\nDBLIST vol.00 "vol.01"\nOIDLIST db.msk\nNSEQ 3\nLENGTH 34\nMAXOID 4\nMEMB_BIT 1\n')
-    (tmp_path / "db.msk").write_bytes(struct.pack(">I", 4) + bytes([0b11010000]))
+        write_volume(str(tmp_path / f"vol.{v:02}"), True, part, [headed(defline([text_id(4, f"A{v}{i}")], f"title {i}", 9606 + v)) for i in range(len(part))])
+    (tmp_path / "db.pal").write_text('TITLE all of it\nDBLIST vol.00 "vol.01"\nNSEQ 5\nLENGTH 39\n')
     rows = blastdb.read_database(spark, str(tmp_path / "db")).orderBy("seqno").collect()
-    assert [(r["seqno"], r["volume"], r["residues"], r["length"], r["masked"]) for r in rows] == [(i, v, s, len(s), i in (0, 1, 3)) for i, (v, s) in enumerate((v, s) for v, part in enumerate(sequences) for s in part)]
+    assert [(r["seqno"], r["volume"], r["residues"], r["length"], r["masked"]) for r in rows] == [(i, v, s, len(s), True) for i, (v, s) in enumerate((v, s) for v, part in enumerate(sequences) for s in part)]
     assert rows[1]["deflines"][0]["ids"] == ["gb|A01|"] and rows[1]["deflines"][0]["taxid"] == 9606
     alias = blastdb.read_alias(str(tmp_path / "db"), True)
-    assert (alias.title, alias.volumes, alias.sequences, alias.length, alias.membership_bit) == ("all of it", ["vol.00", "vol.01"], 3, 34, 1)
+    assert (alias.title, alias.volumes, alias.sequences, alias.length) == ("all of it", ["vol.00", "vol.01"], 5, 39)
+    one = blastdb.with_taxids(blastdb.read_database(spark, str(tmp_path / "db")), spark.createDataFrame([(9607,), (1,)], "taxid long"))
+    assert sorted(r["seqno"] for r in one.collect()) == [2, 3, 4]
+
+
+def test_each_volume_has_the_mask_of_its_alias(spark, tmp_path):
+    parts = [["MK", "AC", "GH"], ["W" * i for i in range(1, 12)]]
+    for v, part in enumerate(parts):
+        write_volume(str(tmp_path / f"vol.{v:02}"), True, part, [headed(defline([text_id(4, f"A{v}{i}")])) for i in range(len(part))])
+        (tmp_path / f"in{v}.pal").write_text(f"DBLIST vol.{v:02}\nOIDLIST m{v}.msk\nMAXOID {(2, 9)[v]}\nMEMB_BIT 1\n")
+    (tmp_path / "m0.msk").write_bytes(struct.pack(">I", 2) + bytes([0b01011111]))
+    (tmp_path / "m1.msk").write_bytes(struct.pack(">I", 10) + bytes([0b10000001, 0b11111111]))
+    (tmp_path / "db.pal").write_text("DBLIST in0 in1\nMEMB_BIT 1\n")
+    read = lambda name: [(r["seqno"], r["masked"]) for r in blastdb.read_database(spark, str(tmp_path / name)).orderBy("seqno").collect()]
+    assert read("db") == [(i, i in (1, 3, 10, 11, 12)) for i in range(14)]  # number 10 of the second volume lies beyond its last
+    assert blastdb.read_mask(str(tmp_path / "m1.msk"), 9, 5, 11).tolist() == [False, False, True, True, True, False]
+    (tmp_path / "free.pal").write_text("DBLIST in0 in1\n")
+    assert read("free") == [(i, True) for i in range(14)]  # without a bit of its own the outer alias asks for no mask
+    (tmp_path / "one.pal").write_text("DBLIST vol.00\nOIDLIST m0.msk\nMAXOID 2\nMEMB_BIT 1\n")
+    assert read("one") == [(0, False), (1, True), (2, False)]
+    (tmp_path / "two.pal").write_text("DBLIST vol.00 vol.01\nOIDLIST m0.msk\nMAXOID 2\nMEMB_BIT 1\n")
+    with pytest.raises(ValueError):
+        blastdb.volumes_of(str(tmp_path / "two"), True)
 
 
 def test_nucleotide_database_with_ambiguities(spark, tmp_path):
