@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -79,35 +80,18 @@ def nucleotide_parameters(match: int, mismatch: int, gap_open: int, gap_extend:
     return _rows(rows).get((gap_open, gap_extend))
 
 
-def length_adjustment(p: Parameters, query: int, total: int, sequences: int, rounds: int = 20) -> int:
-    """The largest whole ell that is no more than alpha / lambda * ln(K (m - ell)(n - N ell)) + beta.
+def length_adjustment(p: Parameters, query: int, total: int, sequences: int) -> int:
+    """The largest whole ell with K (m - ell)(n - N ell) >= max(m, n) and ell <= alpha / lambda ln(K (m - ell)(n - N ell)) + beta.
 
-    A bracketed fixed-point iteration, after Altschul and others (2001).
+    Both conditions hold up to some ell and for none beyond, so halving finds the last one; 0 if they hold for none.
     """
-    m, n, count = float(query), float(total), float(sequences)
-
-    def image(ell: float) -> float:
-        return p.alpha / p.lam * (math.log(p.k) + math.log((m - ell) * (n - count * ell))) + p.beta
-
-    rest = n * m - max(m, n) / p.k
-    if rest < 0:
-        return 0
-    both = m * count + n
-    low, high, trial = 0.0, 2 * rest / (both + math.sqrt(both * both - 4 * count * rest)), 0.0
-    for turn in range(rounds):
-        ell = trial
-        value = image(ell)
-        if value >= ell:
-            low = ell
-            if value - low <= 1:
-                above = math.ceil(low)
-                return above if above <= high and image(above) >= above else int(low)
-            if low >= high:
-                break
-        else:
-            high = ell
-        trial = value if low <= value <= high else high if turn == 0 else (low + high) / 2
-    return int(low)
+
+    def fails(ell: int) -> bool:
+        left, rest = query - ell, total - sequences * ell
+        space = p.k * left * rest
+        return left <= 0 or rest <= 0 or space < max(query, total) or ell > p.alpha / p.lam * math.log(space) + p.beta
+
+    return max(bisect_left(range(query + 1), True, key=fails) - 1, 0)
 
 
 def search_space(p: Parameters, query: int, total: int, sequences: int, fixed_total: int | None = None) -> float:
