@@ -84,15 +84,19 @@ def db_info_masked(spark, sf_dir):
 def volume_seqno(spark, sf_dir):
     """Documents by source as volumes: ordinal within the volume plus the sizes of the volumes before it.
 
-    Sizes are counted per volume first; numbering within a volume sorts that volume's keys only.
+    Runs of 4,096 numbers are counted first and their counts summed up in order; only the rows of a run are sorted.
     """
     from pyspark.sql import Window
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
-    sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
-    starts = sizes.select("source", F.coalesce(F.sum("n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    placed = docs.withColumn("oid", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
-    return placed.join(starts, "source").select("doc_id", "source", "oid", (F.col("start") + F.col("oid")).alias("seqno"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.shiftright("doc_id", 12).alias("run"))
+    runs = docs.groupBy("source", "run").agg(F.count("*").alias("n"))
+    sizes = runs.groupBy("source").agg(F.sum("n").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = runs.select("source", "run", before(Window.partitionBy("source").orderBy("run")).alias("first"))
+    starts = sizes.select("source", before(Window.orderBy("source")).alias("start"))  # one row per source
+    placed = docs.withColumn("at", F.row_number().over(Window.partitionBy("source", "run").orderBy("doc_id")) - 1)
+    oid = (F.col("first") + F.col("at")).cast("int")
+    return placed.join(firsts, ["source", "run"]).join(starts, "source").select("doc_id", "source", oid.alias("oid"), (F.col("start") + F.col("first") + F.col("at")).alias("seqno"))
 
 
 def _deflines(spark, sf_dir) -> DataFrame:
@@ -123,7 +127,7 @@ def mask_filter(spark, sf_dir):
 
 def fasta_dump(spark, sf_dir):
     """Documents as FASTA records with lines of 80."""
-    rows = _sequences(spark, sf_dir, "documents", "doc_id", "text", "protein").join(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seqno"), "lang", "source"), "seqno")
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("seqno"), alphabets.residues(F.col("text"), "protein").alias("residues"), "lang", "source")
     title = F.concat(F.lit(">lcl|"), F.col("seqno").cast("string"), F.lit(" "), F.col("source"), F.lit(" "), F.col("lang"))
     return rows.select("seqno", F.concat(title, F.lit("\n"), wrapped(F.col("residues"))).alias("record"))
 
@@ -319,6 +323,26 @@ QUERIES = {
     "genetic_codes": genetic_codes,
 }
 
+# Fixed values of the SQL, stated apart from the functions under test: the genetic codes in the order T, C, A, G.
+_CODES = """
+1 FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG
+2 FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSS**VVVVAAAADDEEGGGG
+3 FFLLSSSSYY**CCWWTTTTPPPPHHQQRRRRIIMMTTTTNNKKSSRRVVVVAAAADDEEGGGG
+4 FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG
+5 FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSSSSVVVVAAAADDEEGGGG
+6 FFLLSSSSYYQQCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG
+9 FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNNKSSSSVVVVAAAADDEEGGGG
+10 FFLLSSSSYY**CCCWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG
+11 FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG
+12 FFLLSSSSYY**CC*WLLLSPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG
+13 FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSSGGVVVVAAAADDEEGGGG
+14 FFLLSSSSYYY*CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNNKSSSSVVVVAAAADDEEGGGG
+15 FFLLSSSSYY*QCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG
+16 FFLLSSSSYY*LCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG
+21 FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNNKSSSSVVVVAAAADDEEGGGG
+22 FFLLSS*SYY*LCC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG
+23 FF*LSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG
+"""
 _AA = "translate(regexp_replace({0}, '[^A-Za-z*\\-]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 _NT = "translate(regexp_replace({0}, '[^ACGTURYMKSWBDHVNacgturymkswbdhvn\\-]', '', 'g'), 'acgturymkswbdhvnU', 'ACGTTRYMKSWBDHVNT')"
 _MINUS = "translate(reverse({0}), 'ACGTRYMKSWBDHVN', 'TGCAYRKMSWVHDBN')"
@@ -371,21 +395,11 @@ def _sql() -> dict[str, str]:
     top = score + ", tk AS (SELECT *, row_number() OVER (PARTITION BY qno ORDER BY score DESC, seqno DESC) AS rn FROM sc) "
     adjusted = f""",
 tot AS (SELECT sum(length(d))::DOUBLE AS n, count(*)::DOUBLE AS cnt FROM ds),
-m AS (SELECT qno, length(q)::DOUBLE AS m, n, cnt, n * length(q) - greatest(n, length(q)) / {p.k} AS c FROM qs, tot)
-"""
-    # With queries this short no length adjustment fits: the search space is plain unless c >= 0, which step() covers.
-    steps = f""",
-it AS (
-  SELECT qno, m, n, cnt, 0 AS turn, 0.0::DOUBLE AS lo, 2 * c / (m * cnt + n + sqrt((m * cnt + n) * (m * cnt + n) - 4 * cnt * c)) AS hi, 0.0::DOUBLE AS ell, FALSE AS done, FALSE AS conv FROM m WHERE c >= 0
-  UNION ALL
-  SELECT qno, m, n, cnt, turn + 1, lo2, hi2, CASE WHEN bar BETWEEN lo2 AND hi2 THEN bar WHEN turn = 0 THEN hi2 ELSE (lo2 + hi2) / 2 END,
-         (bar >= ell AND (bar - lo2 <= 1 OR lo2 >= hi2)), (bar >= ell AND bar - lo2 <= 1) FROM (
-    SELECT *, CASE WHEN bar >= ell THEN ell ELSE lo END AS lo2, CASE WHEN bar >= ell THEN hi ELSE ell END AS hi2 FROM (
-      SELECT *, {p.alpha / p.lam!r} * (ln({p.k}) + ln((m - ell) * (n - cnt * ell))) + ({p.beta}) AS bar FROM it WHERE NOT done AND turn < 20)))
-, las AS (SELECT *, row_number() OVER (PARTITION BY qno ORDER BY turn DESC) AS k FROM it)
-, adj AS (
-  SELECT m.qno, m.m, m.n, m.cnt, coalesce(CASE WHEN conv AND ceil(lo) <= hi AND {p.alpha / p.lam!r} * (ln({p.k}) + ln((m.m - ceil(lo)) * (m.n - m.cnt * ceil(lo)))) + ({p.beta}) >= ceil(lo) THEN ceil(lo) ELSE floor(lo) END, 0) AS ell
-  FROM m LEFT JOIN las ON las.qno = m.qno AND las.k = 1)
+m AS (SELECT qno, length(q)::DOUBLE AS m, n, cnt FROM qs, tot),
+tried AS (SELECT qno, ell, {p.k} * (m - ell) * (n - cnt * ell) AS kmn, greatest(m, n) AS least FROM (SELECT *, unnest(range(0, m::BIGINT)) AS ell FROM m) WHERE n > cnt * ell),
+adj AS (
+  SELECT m.qno, m.m, m.n, m.cnt, coalesce(f.ell, 0) AS ell
+  FROM m LEFT JOIN (SELECT qno, max(ell) AS ell FROM tried WHERE kmn >= least AND ell <= {p.alpha / p.lam!r} * ln(greatest(kmn, 1e-300)) + ({p.beta}) GROUP BY qno) f ON f.qno = m.qno)
 """
     bench = f"WITH RECURSIVE qs AS (SELECT item_id::INT AS qno, {_AA.format('text')} AS q FROM benchmark), ds AS (SELECT {_AA.format('text')} AS d FROM documents)"
     space = f"{p.k} * (adj.m - adj.ell) * (adj.n - adj.cnt * adj.ell)"
@@ -395,7 +409,7 @@ it AS (
         "residue_encode_aa": f"SELECT doc_id, {_AA.format('text')} AS residues FROM documents",
         "residue_encode_nt": f"SELECT doc_id, {_NT.format('text')} AS residues FROM documents",
         "residue_codes": f"""WITH s AS (SELECT p_partkey, {_AA.format('p_name')} AS symbols FROM part)
-            SELECT p_partkey, symbols, coalesce(array_to_string(list_transform(string_split(symbols, ''), lambda c: (strpos('{alphabets.PROTEIN}', c) - 1)::VARCHAR), ','), '') AS codes FROM s""",
+            SELECT p_partkey, symbols, coalesce(array_to_string(list_transform(string_split(symbols, ''), lambda c: (strpos('-ABCDEFGHIKLMNPQRSTVWXYZU*OJ', c) - 1)::VARCHAR), ','), '') AS codes FROM s""",
         "reverse_complement": f"SELECT doc_id, {_MINUS.format(_NT.format('text'))} AS minus FROM documents",
         "translate_six_frames": f"""WITH codon(c, a) AS (VALUES {codons}), book AS (SELECT map_from_entries(list((c, a))) AS b FROM codon),
             s AS (SELECT doc_id AS seqno, {_NT.format('text')} AS r FROM documents),
@@ -414,13 +428,13 @@ it AS (
         "sw_score_nt": dp_nt + score + "SELECT qno, seqno, 0 AS dstrand, score FROM sc",
         "sw_score_both_strands": dp_both + score + "SELECT qno, seqno, strand AS dstrand, score FROM sc",
         "sw_score_blosum62": dp_aa + score + "SELECT qno, seqno, 0 AS dstrand, score FROM sc",
-        "topk_hits": dp_aa + adjusted + steps + top + f"SELECT tk.qno, seqno, score, rn, round(({p.lam} * score - ln({p.k})) / ln(2), 6) AS bits, round({space} * exp(-{p.lam} * score), 6) AS evalue FROM tk JOIN adj USING (qno) WHERE rn <= 10",
+        "topk_hits": dp_aa + adjusted + top + f"SELECT tk.qno, seqno, score, rn, round(({p.lam} * score - ln({p.k})) / ln(2), 6) AS bits, round({space} * exp(-{p.lam} * score), 6) AS evalue FROM tk JOIN adj USING (qno) WHERE rn <= 10",
         "total_and_obvious_hits": dp_aa + score + "SELECT qno, count(*) FILTER (score >= 12) AS total_hits, count(*) FILTER (score > 16) AS obvious_hits FROM sc GROUP BY qno",
-        "length_adjustment": bench + adjusted + steps + f"SELECT qno, ell::INT AS adjustment, greatest(1, ceil(-ln(10.0 / ({space})) / {p.lam}))::INT AS lower, floor(-ln(1e-5 / ({space})) / {p.lam})::INT AS upper, round({space}, 3) AS space FROM adj",
+        "length_adjustment": bench + adjusted + f"SELECT qno, ell::INT AS adjustment, greatest(1, ceil(-ln(10.0 / ({space})) / {p.lam}))::INT AS lower, floor(-ln(1e-5 / ({space})) / {p.lam})::INT AS upper, round({space}, 3) AS space FROM adj",
         "alignment_endpoints_hinted": dp_ends + ", b AS (SELECT *, max(h) OVER (PARTITION BY qno, seqno) AS top FROM dp), r AS (SELECT *, row_number() OVER (PARTITION BY qno, seqno ORDER BY j, i) AS k FROM b WHERE h = top AND h > 0) SELECT qno, seqno, h::BIGINT AS score, (i - 1)::INT AS q_end, (j - 1)::INT AS d_end FROM r WHERE k = 1",
         "alignment_endpoints_unhinted": dp_ends + ", b AS (SELECT *, max(h) OVER (PARTITION BY qno, seqno) AS top FROM dp), r AS (SELECT *, row_number() OVER (PARTITION BY qno, seqno ORDER BY i, j) AS k FROM b WHERE h = top AND h > 0) SELECT qno, seqno, h::BIGINT AS score, (i - 1)::INT AS q_end, (j - 1)::INT AS d_end FROM r WHERE k = 1",
         "alignment_rescore": dp_aa + top + "SELECT qno, seqno, score FROM tk WHERE rn <= 10",
-        "genetic_codes": "SELECT * FROM (VALUES " + ", ".join(f"({n}, '{alphabets.genetic_code(n)}')" for n in alphabets.DIFFERENCES) + ") t(code, acids)",
+        "genetic_codes": "SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(*line.split()) for line in _CODES.split("\n") if line) + ") t(code, acids)",
     }
 
 

@@ -27,25 +27,31 @@ def fitted(text: Column, width: int) -> Column:
     return F.rpad(F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 3), F.lit("..."))).otherwise(text), width, " ")
 
 
+def printed(form: str, number: Column) -> Column:
+    """The number as C's printf writes it: the binary value is rounded, ties to even, which the JVM's formatter doesn't do."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def text(numbers):
+        return numbers.map(lambda x: None if x != x or x is None else form % x)
+
+    return text(number.cast("double"))
+
+
 def expect_text(e: Column) -> Column:
     """An E-value in five characters or so: fewer decimals as it grows, exponents as it shrinks."""
-    short = lambda digits: F.rpad(F.format_string(f"%.{digits}f", e), 5, " ")
-    power = F.format_string("%.0e", e)
+    short = lambda digits: F.rpad(printed(f"%.{digits}f", e), 5, " ")
+    power = printed("%.0e", e)
+    # The bounds between the forms.
     return (
         F.when(e < 1e-180, F.lit("0.0  ")).when(e < 9.5e-100, F.rpad(F.substring(power, 2, 9), 5, " ")).when(e < 0.00095, F.rpad(power, 5, " "))
-        .when(e < 0.0995, short(3)).when(e < 0.95, short(2)).when(e < 9.5, short(1)).otherwise(F.lpad(F.format_string("%.0f", e), 5, " "))
+        .when(e < 0.0995, short(3)).when(e < 0.95, short(2)).when(e < 9.5, short(1)).otherwise(F.lpad(printed("%.0f", e), 5, " "))
     )
 
 
 def two_digits(e: Column) -> Column:
     """%.2g: two significant digits, plain between 1e-4 and 100, else with an exponent; trailing zeros dropped."""
-    power = F.format_string("%.1e", e)
-    exponent = F.regexp_extract(power, r"e([+-]\d+)$", 1).cast("int")
-    mantissa = F.regexp_replace(F.regexp_extract(power, r"^([0-9.]+)e", 1), r"\.0$", "")
-    rounded = power.cast("double")
-    plain = F.element_at(F.array(*[F.format_string(f"%.{d}f", rounded) for d in range(6)]), F.greatest(F.lit(1), F.lit(2) - exponent).cast("int"))
-    trimmed = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
-    return F.when(e == 0, F.lit("0")).when((exponent < -4) | (exponent >= 2), F.concat(mantissa, F.regexp_extract(power, r"(e[+-]\d+)$", 1))).otherwise(trimmed)
+    return printed("%.2g", e)
 
 
 def strand_label(strand: Column, frame: Column | None = None) -> Column:
@@ -57,7 +63,7 @@ def tsv(search: Search, titles: DataFrame) -> DataFrame:
     """One row per alignment with the columns of the tabular report; titles has seqno and subject_id."""
     rows = search.alignments().join(titles.select("seqno", "subject_id"), "seqno")
     return rows.select(
-        "qno", "rn", query_id(F.col("description")).alias("query_id"), "subject_id", F.round(F.lit(100.0) * F.col("identities") / F.col("aligned"), 2).alias("pct_identity"),
+        "qno", "rn", query_id(F.col("description")).alias("query_id"), "subject_id", printed("%.2f", F.lit(100.0) * F.col("identities") / F.col("aligned")).cast("double").alias("pct_identity"),
         "aligned", (F.col("aligned") - F.col("identities") - F.col("indels")).alias("mismatches"), F.col("gaps").alias("gap_openings"), F.col("q_first").alias("q_start"), F.col("q_last").alias("q_end"), F.col("d_first").alias("s_start"), F.col("d_last").alias("s_end"),
         "score", "evalue", "bits",
     )
@@ -67,8 +73,8 @@ def tsv_lines(search: Search, titles: DataFrame, comments: bool = False, databas
     """(qno, line_no, line) of the tabular report, with comment lines if asked for."""
     rows = tsv(search, titles)
     plain = ["aligned", "mismatches", "gap_openings", "q_start", "q_end", "s_start", "s_end"]
-    last = [two_digits(F.col("evalue")), F.format_string("%.1f", "bits")] if search.options.statistics() else [F.col("score").cast("string")]
-    line = F.concat_ws("\t", "query_id", "subject_id", F.format_string("%.2f", "pct_identity"), *[F.col(c).cast("string") for c in plain], *last)
+    last = [two_digits(F.col("evalue")), printed("%.1f", F.col("bits"))] if search.options.statistics() else [F.col("score").cast("string")]
+    line = F.concat_ws("\t", "query_id", "subject_id", printed("%.2f", F.col("pct_identity")), *[F.col(c).cast("string") for c in plain], *last)
     body = rows.select("qno", F.col("rn").cast("int").alias("line_no"), line.alias("line"))
     if not comments:
         return body
@@ -121,7 +127,7 @@ def alignment_lines(search: Search, titles: DataFrame, width: int = 60) -> DataF
     o = search.options
     rows = search.alignments().join(titles.select("seqno", "subject_id"), "seqno")
     share = lambda name: F.concat(F.col(name).cast("string"), F.lit("/"), F.col("aligned").cast("string"), F.lit(" ("), F.floor(F.col(name) * 100 / F.col("aligned")).cast("string"), F.lit("%)"))
-    score = F.concat(F.lit(" Score = "), F.format_string("%.1f", "bits"), F.lit(" bits ("), F.col("score").cast("string"), F.lit("), Expect = "), expect_text(F.col("evalue"))) if o.statistics() else F.concat(F.lit(" Score = "), F.col("score").cast("string"))
+    score = F.concat(F.lit(" Score = "), printed("%.1f", F.col("bits")), F.lit(" bits ("), F.col("score").cast("string"), F.lit("), Expect = "), expect_text(F.col("evalue"))) if o.statistics() else F.concat(F.lit(" Score = "), F.col("score").cast("string"))
     counts = [F.concat(F.lit(" Identities = "), share("identities"))]
     if o.program != "blastn":
         counts.append(F.concat(F.lit(", Positives = "), share("positives")))

@@ -21,7 +21,7 @@ from quiverseq.functions.alphabets import DIFFERENCES, encode, residues, reverse
 from quiverseq.functions.matrices import matrix, nucleotide_matrix
 from quiverseq.operators.alignment import Scoring, align, rescored, statistics, text_lines
 from quiverseq.operators.kernels import batch_scores
-from quiverseq.plans.store import stored
+from quiverseq.plans.store import discarded, stored
 
 PROGRAMS = ("blastn", "blastp", "blastx", "tblastn", "tblastx", "sound")
 #: Residues of all query frames together that are broadcast at most; split larger query sets over several searches.
@@ -210,7 +210,10 @@ class Search:
     def __post_init__(self):
         info = db_info(self.db).first()
         self.sequences, self.symbols = self.masked_totals or (info["sequences"], info["residues"])
-        self.frames = query_frames(self.queries, self.options).collect()
+        frames = query_frames(self.queries, self.options)
+        if (frames.agg(F.sum(F.length("residues"))).first()[0] or 0) > MOST_QUERY:
+            raise ValueError("the query set is too large for one search; split it")
+        self.frames = frames.collect()  # MOST_QUERY symbols at most
         self.limits = bounds(sorted({(r["qno"], r["nt_length"]) for r in self.frames}), self.sequences, self.symbols, self.options)
         self.keep = max(self.options.descriptions, self.options.alignments)
         self._scored = None
@@ -227,6 +230,12 @@ class Search:
         found = self.scored().where("score is not null").drop("total", "obvious")
         return self.with_statistics(found.withColumn("rn", F.row_number().over(ranked)).where(F.col("rn") <= self.keep))
 
+    def close(self) -> None:
+        """Discards the stored rows; what hits() and alignments() returned must be consumed before."""
+        if self._scored is not None:
+            discarded(self._scored)
+            self._scored = None
+
     def counts(self) -> DataFrame:
         """Per query: total_hits (scores from the lower bound on) and obvious_hits (above the upper bound)."""
         return self.scored().where("total is not null").groupBy("qno").agg(F.sum("total").alias("total_hits"), F.sum("obvious").alias("obvious_hits"))
@@ -235,9 +244,9 @@ class Search:
         p = self.options.statistics()
         if p is None:
             return hits.withColumns({"evalue": F.lit(None).cast("double"), "bits": F.lit(None).cast("double")})
-        spaces = {q: x[2] for q, x in self.limits.items() if x[2]}
-        space = F.element_at(F.create_map(*[F.lit(y) for q, x in spaces.items() for y in (q, float(x))]), F.col("qno")) if spaces else F.lit(None).cast("double")
-        return hits.withColumns({"evalue": stats.e_value(F.col("score"), space, p), "bits": stats.bit_score(F.col("score"), p)})
+        spaces = hits.sparkSession.createDataFrame([(q, float(x[2]) if x[2] else None) for q, x in self.limits.items()], "qno int, _space double")
+        joined = hits.join(F.broadcast(spaces), "qno", "left")  # a row per query
+        return joined.withColumns({"evalue": stats.e_value(F.col("score"), F.col("_space"), p), "bits": stats.bit_score(F.col("score"), p)}).drop("_space")
 
     def alignments(self) -> DataFrame:
         """Hits up to the alignment limit with coordinates, edit script, statistics and text lines.

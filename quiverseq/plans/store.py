@@ -22,4 +22,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared.rstrip('/')}/quiverseq-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quiverseq_path = path
+    return out
+
+
+def discarded(df: DataFrame) -> None:
+    """Removes a table that stored() returned; results that read it must be consumed before."""
+    sc = df.sparkSession.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(df._quiverseq_path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
