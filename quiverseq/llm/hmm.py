@@ -258,7 +258,8 @@ def expected(model: Hmm, rows: np.ndarray, marks: np.ndarray, size: int) -> tupl
 def _counts_over(encoded: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """One expectation step over all training rows: (first, moves, emissions, log-likelihood), summed by Spark per symbol.
 
-    Two tasks a core at most, so that what is summed grows with the cluster and not with the input.
+    One task a core, so that a core adds up all its texts before anything is shuffled, and what is summed grows with the
+    cluster and not with the input.
     """
     k = len(model.start)
     sc = encoded.sparkSession.sparkContext
@@ -287,7 +288,7 @@ def _counts_over(encoded: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray,
         values = np.vstack([seen[used], first[None], pairs, likelihood[None]])
         yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(values[:, i]) for i in range(k)]], ["sym", *[f"s{i}" for i in range(k)]])
 
-    rows = encoded.where("not held_out").select("syms").coalesce(2 * sc.defaultParallelism).mapInArrow(run, "sym int, " + ", ".join(f"s{i} double" for i in range(k)))
+    rows = encoded.where("not held_out").select("syms").coalesce(sc.defaultParallelism).mapInArrow(run, "sym int, " + ", ".join(f"s{i} double" for i in range(k)))
     summed = rows.groupBy("sym").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).toArrow()  # size + K + 2 rows at most
     shared.destroy()
     keys = summed.column("sym").to_numpy()
