@@ -1,20 +1,22 @@
 """Hidden Markov language model over words: Baum-Welch over the whole corpus, exact likelihoods by scaled forward recursion.
 
 Words are lower-cased runs of non-space bytes; a text ends with one end token. All words are counted. The HEAD most
-frequent words and the end token are emitted by the states themselves; every other word is emitted as one tail symbol
-and then drawn by its own count among tail words, so the model covers any text and sums to 1. Tail counts never reach
-a task whole: they are joined to the texts' tail words by word.
+frequent words and the end token are emitted by the states themselves. The other words are dealt by their endings to tail
+classes, one for each CLASS_WORDS of them and CLASSES at most, so that what the states learn of rare words grows with
+the vocabulary while the model that tasks hold stays bounded. A tail word is emitted as its class and then drawn by its
+own count within it, so the model covers any text and sums to 1. Tail counts never reach a task whole: they are joined
+to the texts' tail words by word.
 
 Baum-Welch runs over all training texts; those of up to WINDOW tokens are taken whole, longer ones in windows of that
 many, so that at most one transition in WINDOW goes uncounted and a later window begins with the state shares within
 texts. Each task adds up expected counts, Spark sums them by
-symbol, and the driver sees HEAD + a few rows per iteration. It starts from a random model and ends when the training
+symbol, and the driver sees HEAD + CLASSES + a few rows per iteration at most. It starts from a random model and ends when the training
 likelihood has settled; every iteration counts all training texts.
 Scores are exact for whole texts: texts up to LONG tokens run side by side, longer ones as products of the transfer
 matrices of their chunks, which is the same recursion regrouped.
 
 Null and empty texts consist of the end token. Repeated rows are scored each. A null doc_id counts as text "" for the
-fold. Without training texts all tokens are unseen and the model falls back on the tail symbol.
+fold. Without training texts all tokens are unseen and the model falls back on one tail class.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .textkernels import U, Words, lists, slices, text_bytes
+from .textkernels import U, Words, lists, mix, slices, text_bytes
 
 HEAD, STATES, WINDOW = 1 << 15, 8, 1024
+#: Tail words to a class on average, classes at most (symbols are two bytes), and last bytes of a word that name its class.
+CLASS_WORDS, CLASSES, ENDING = 64, (1 << 15) - 2, 3
 LONG, CHUNK = 4096, 256
 #: Training has settled when two iterations in a row gain less than so many nats a token.
 SETTLED = 1e-4
@@ -43,27 +47,40 @@ TEXT, LATER = 1, 2
 PRIOR = 20.0
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
+def endings(words: Words) -> np.ndarray:
+    """A number below 2**31 of each word's last ENDING bytes: words that end alike have the same."""
+    key = np.zeros(len(words.end), U)
+    for back in range(1, ENDING + 1):
+        at = words.end - back
+        key = key * U(257) + np.where(at >= words.start, words.data[np.maximum(at, 0)].astype(U) + U(1), U(0))
+    return (mix(key) >> U(33)).astype(np.int64)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hashes, counts, kinds = (np.concatenate(x) for x in zip(*parts))
+    keys, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+    return keys, np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64), kinds[first]
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(h, c): every word of all texts by hash, with its count; tasks add up first."""
+    """(h, c, k): every word of all texts by hash, with its count and the number of its ending; tasks add up first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
 
         def flushed() -> pa.RecordBatch:
-            keys, counts = _merged(parts)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["h", "c"])
+            keys, counts, kinds = _merged(parts)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts), pa.array(kinds.astype(np.int32))], ["h", "c", "k"])
 
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for a, b in slices(offsets):
                 words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                parts.append(np.unique(words.hash, return_counts=True))
-                held += len(parts[-1][0])
+                if not len(words.hash):
+                    continue
+                keys, first, counts = np.unique(words.hash, return_index=True, return_counts=True)
+                parts.append((keys, counts, endings(words)[first]))
+                held += len(keys)
                 if held > 1 << 21:
                     parts = [_merged(parts)]
                     held = len(parts[0][0])
@@ -73,48 +90,68 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if parts:
             yield flushed()
 
-    return texts.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(run, "h long, c long, k int").groupBy("h").agg(F.sum("c").alias("c"), F.max("k").alias("k"))
 
 
 @dataclass
 class Symbols:
-    """Head words by ascending hash with their counts; tail is symbol len(words), end the one after."""
+    """Head words by ascending hash with their counts, tail classes with their tokens and words, and the texts.
+
+    Symbols are the head words, then the tail classes from tail on, then the end.
+    """
 
     words: np.ndarray
     counts: np.ndarray
-    tail_tokens: int
-    tail_words: int
+    tail_tokens: np.ndarray
+    tail_words: np.ndarray
     texts: int
 
     @property
     def tail(self) -> int:
         return len(self.words)
 
+    @property
+    def end(self) -> int:
+        return len(self.words) + len(self.tail_words)
+
     @property
     def tokens(self) -> int:
-        return int(self.counts.sum()) + self.tail_tokens + self.texts
+        return int(self.counts.sum()) + int(self.tail_tokens.sum()) + self.texts
 
     @property
     def vocabulary(self) -> int:
-        return len(self.words) + self.tail_words + (self.texts > 0)
+        return len(self.words) + int(self.tail_words.sum()) + (self.texts > 0)
+
+    @property
+    def tail_mass(self) -> np.ndarray:
+        """What the words of each class share: their tokens, one half for each word and for one unseen word."""
+        return self.tail_tokens + 0.5 * (self.tail_words + 1)
 
     def unigram(self) -> np.ndarray:
-        mass = np.concatenate([self.counts + 0.5, [self.tail_tokens + 0.5 * (self.tail_words + 1), self.texts + 0.5]])
+        mass = np.concatenate([self.counts + 0.5, self.tail_mass, [self.texts + 0.5]])
         return mass / mass.sum()
 
-    def coded(self, hashes: np.ndarray) -> np.ndarray:
+    def coded(self, hashes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        rare = self.tail + kinds % len(self.tail_words)
         if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
+            return rare
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, self.tail)
+        return np.where(self.words[at] == hashes, at, rare)
 
 
-def symbols(counts: DataFrame, texts: int, head: int = HEAD) -> Symbols:
+def symbols(counts: DataFrame, texts: int, head: int = HEAD, class_words: int = CLASS_WORDS) -> Symbols:
     top = counts.orderBy(F.desc("c"), "h").limit(head).collect()  # head rows
-    words, number = np.array([r[0] for r in top], np.int64).view(U), np.array([r[1] for r in top], np.int64)
+    words, number, own = np.array([r["h"] for r in top], np.int64).view(U), np.array([r["c"] for r in top], np.int64), np.array([r["k"] for r in top], np.int64)
     order = np.argsort(words)
-    kinds, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    return Symbols(words[order], number[order], int(total) - int(number.sum()), int(kinds) - len(words), texts)
+    words, number = words[order], number[order]
+    classes = min(max((counts.count() - len(words)) // class_words, 1), CLASSES)
+    tokens, kinds = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
+    for name, n, c in counts.groupBy((F.col("k") % classes).alias("class")).agg(F.count("*"), F.sum("c")).collect():  # a row per class
+        kinds[name], tokens[name] = n, c
+    own = own[order] % classes
+    kinds -= np.bincount(own, minlength=classes)
+    tokens -= np.bincount(own, weights=number, minlength=classes).astype(np.int64)
+    return Symbols(words, number, tokens, kinds, texts)
 
 
 def _encoded(docs: DataFrame, known) -> DataFrame:
@@ -131,10 +168,10 @@ def _encoded(docs: DataFrame, known) -> DataFrame:
             for a, b in slices(offsets):
                 words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = b - a
-                code = book.coded(words.hash)
-                syms = np.insert(code, words.firsts[1:], book.tail + 1).astype(np.uint16)
+                code = book.coded(words.hash, endings(words))
+                syms = np.insert(code, words.firsts[1:], book.end).astype(np.uint16)
                 edges = words.firsts + np.arange(n + 1)
-                at = np.flatnonzero(code == book.tail)
+                at = np.flatnonzero(code >= book.tail)
                 order = np.lexsort((words.hash[at], words.row[at]))
                 row, h = words.row[at][order], words.hash[at][order]
                 new = np.ones(len(h), bool)
@@ -162,18 +199,29 @@ class Hmm:
     emit: np.ndarray
     rest: np.ndarray
 
-    def reestimated(self, first: np.ndarray, pairs: np.ndarray, seen: np.ndarray, unigram: np.ndarray) -> Hmm:
-        """The maximisation step; every probability stays positive by prior mass, in emissions after Witten and Bell."""
+    def reestimated(self, first: np.ndarray, pairs: np.ndarray, seen: np.ndarray, unigram: np.ndarray, tail: slice = slice(0)) -> Hmm:
+        """The maximisation step; every probability stays positive by prior mass, in emissions after Witten and Bell.
+
+        Symbols of the tail are smoothed as one first, and then what they have is shared out among them in the same way.
+        """
         k = len(self.start)
-        emit = seen + (PRIOR + (seen > 0.5).sum(axis=0)) * unigram[:, None]
+        rare, shares = seen[tail], unigram[tail, None]
+        types = (seen > 0.5).sum(axis=0) - (rare > 0.5).sum(axis=0) + (rare.sum(axis=0) > 0.5)
+        emit = seen + (PRIOR + types) * unigram[:, None]
+        if len(rare):
+            within = rare + (PRIOR + (rare > 0.5).sum(axis=0)) * shares / shares.sum()
+            emit[tail] = within / within.sum(axis=0) * emit[tail].sum(axis=0)
         start, move = first + 1.0, pairs + 0.1 + np.eye(k)
         rest = seen.sum(axis=0) + 1.0
         return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), rest / rest.sum())
 
 
-def random_start(unigram: np.ndarray, states: int = STATES, seed: int = 11) -> Hmm:
+def random_start(unigram: np.ndarray, states: int = STATES, seed: int = 11, tail: slice = slice(0)) -> Hmm:
+    """A random model; a state favours all symbols of the tail alike, however many there are."""
     rng = np.random.default_rng(seed)
-    emit = unigram[:, None] * rng.gamma(2.0, size=(len(unigram), states))
+    several = max(len(unigram[tail]) - 1, 0)
+    ratio = rng.gamma(2.0, size=(len(unigram) - several, states))
+    emit = unigram[:, None] * np.insert(ratio, [tail.start or 0] * several, ratio[tail.start or 0], axis=0)
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     even = np.full(states, 1 / states)
     return Hmm(even, move, emit / emit.sum(axis=0), even)
@@ -263,7 +311,7 @@ def _counts_over(encoded: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray,
     """
     k = len(model.start)
     sc = encoded.sparkSession.sparkContext
-    shared = sc.broadcast(model)  # size x K numbers, size <= HEAD + 2
+    shared = sc.broadcast(model)  # size x K numbers, size <= HEAD + CLASSES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, pairs, seen, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), np.zeros(k)
@@ -307,11 +355,12 @@ def _counts_over(encoded: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray,
 
 def trained(encoded: DataFrame, book: Symbols, states: int = STATES, settled: float = SETTLED) -> Hmm:
     """Baum-Welch from a random start, each iteration over all training rows, until two in a row gain less than settled."""
-    unigram, size = book.unigram(), book.tail + 2
-    model, before, small = random_start(unigram, states), -np.inf, 0
+    unigram, size = book.unigram(), book.end + 1
+    tail = slice(book.tail, book.end)
+    model, before, small = random_start(unigram, states, tail=tail), -np.inf, 0
     while small < 2:
         first, pairs, seen, likelihood = _counts_over(encoded, model, size)
-        model = model.reestimated(first, pairs, seen, unigram)
+        model = model.reestimated(first, pairs, seen, unigram, tail)
         small = small + 1 if likelihood - before < settled * book.tokens or not book.tokens else 0
         before = likelihood
     return model
@@ -360,14 +409,17 @@ def log_likelihoods(model: Hmm, syms: list[np.ndarray]) -> np.ndarray:
 
 
 def _head_scores(encoded: DataFrame, book: Symbols, model: Hmm) -> DataFrame:
-    """(uid, doc_id, held_out, n_tokens, tail_tokens, head_base, head_score): log10, all but the choice of tail words."""
+    """(uid, doc_id, held_out, n_tokens, tail_tokens, head_base, head_score): log10, all but the tail words' own counts."""
     sc = encoded.sparkSession.sparkContext
-    shared = sc.broadcast((model, np.log10(np.concatenate([book.counts + 0.5, [1.0, book.texts + 0.5]])), book.tail))
+    nothing = np.zeros(len(book.tail_words))
+    base = np.concatenate([np.log10(book.counts + 0.5), nothing, [np.log10(book.texts + 0.5)]])
+    drawn = np.concatenate([np.zeros(book.tail), np.log10(book.tail_mass), [0.0]])
+    shared = sc.broadcast((model, base, drawn, book.tail, book.end))
     kind = encoded.schema["doc_id"].dataType.simpleString()
     names = ["uid", "doc_id", "held_out", "n_tokens", "tail_tokens", "head_base", "head_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hmm, logs, tail = shared.value
+        hmm, logs, masses, tail, end = shared.value
         for batch in batches:
             syms = [np.frombuffer(v.as_buffer(), np.uint16).astype(np.int64) for v in batch.column("syms")]
             score, low, weight = [np.zeros(0)], 0, 0
@@ -377,13 +429,13 @@ def _head_scores(encoded: DataFrame, book: Symbols, model: Hmm) -> DataFrame:
                     score.append(log_likelihoods(hmm, syms[low : i + 1]))
                     low, weight = i + 1, 0
             score.append(log_likelihoods(hmm, syms[low:]))
-            columns = [pa.array([len(s) for s in syms], pa.int64()), pa.array([int((s == tail).sum()) for s in syms], pa.int64()), pa.array([float(logs[s].sum()) for s in syms], pa.float64()), pa.array(np.concatenate(score) / np.log(10), pa.float64())]
+            columns = [pa.array([len(s) for s in syms], pa.int64()), pa.array([int(((s >= tail) & (s < end)).sum()) for s in syms], pa.int64()), pa.array([float(logs[s].sum()) for s in syms], pa.float64()), pa.array(np.concatenate(score) / np.log(10) - np.array([float(masses[s].sum()) for s in syms]), pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], names)
 
     return encoded.select("uid", "doc_id", "held_out", "syms").mapInArrow(run, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, tail_tokens long, head_base double, head_score double")
 
 
-def scored(docs: DataFrame, head: int = HEAD, states: int = STATES, settled: float = SETTLED) -> DataFrame:
+def scored(docs: DataFrame, head: int = HEAD, states: int = STATES, settled: float = SETTLED, class_words: int = CLASS_WORDS) -> DataFrame:
     """All rows of docs (doc_id, text, held_out), scored by what the rows that are not held out teach.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram, add one half) and score (the HMM),
@@ -392,7 +444,7 @@ def scored(docs: DataFrame, head: int = HEAD, states: int = STATES, settled: flo
     sc = docs.sparkSession.sparkContext
     learn = docs.where("not held_out")
     counts = written(word_counts(learn), "word-counts")
-    book = symbols(counts, learn.count(), head)
+    book = symbols(counts, learn.count(), head, class_words)
     encoded = written(_encoded(docs, sc.broadcast(book)), "encoded")
     model = trained(encoded, book, states, settled)
     heads = _head_scores(encoded, book, model)
@@ -401,13 +453,12 @@ def scored(docs: DataFrame, head: int = HEAD, states: int = STATES, settled: flo
     tails = rare.groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("tail_logs"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))
     tokens, kinds = book.tokens, book.vocabulary
     all_mass = float(np.log10(tokens + 0.5 * (kinds + 1)))
-    tail_mass = float(np.log10(book.tail_tokens + 0.5 * (book.tail_words + 1)))
     own = F.coalesce("tail_logs", F.lit(0.0))
     known = F.col("n_tokens") - F.col("tail_tokens") + F.coalesce("tail_known", F.lit(0)) - F.lit(int(book.texts == 0))
     return heads.join(tails, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("head_base") + own - F.col("n_tokens") * F.lit(all_mass)).alias("base_score"),
-        (F.col("head_score") + own - F.col("tail_tokens") * F.lit(tail_mass)).alias("score"),
+        (F.col("head_score") + own).alias("score"),
     )
 
 

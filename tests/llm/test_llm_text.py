@@ -137,11 +137,47 @@ def test_hmm_query_against_brute_counts(spark):
 
 
 def test_tail_and_head_sum_to_one():
-    book = hmm.Symbols(np.array([1, 2], np.uint64), np.array([5, 3]), 7, 4, 2)
+    book = hmm.Symbols(np.array([1, 2], np.uint64), np.array([5, 3]), np.array([4, 3]), np.array([2, 2]), 2)
     assert book.unigram().sum() == pytest.approx(1)
-    assert book.tokens == 17 and book.vocabulary == 7
-    tails = [2, 2, 2, 1]
-    assert sum((c + 0.5) / (7 + 0.5 * 5) for c in [*tails, 0]) == pytest.approx(1)
+    assert book.tokens == 17 and book.vocabulary == 7 and (book.tail, book.end) == (2, 4)
+    for mass, counts in zip(book.tail_mass, ([3, 1, 0], [2, 1, 0])):
+        assert sum((c + 0.5) / mass for c in counts) == pytest.approx(1)
+
+
+def test_tail_classes_grow_and_hold_every_word(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [tuple(map(int, r)) for r in zip(rng.integers(-(2**63), 2**63, 700), rng.integers(1, 9, 700), rng.integers(0, 2**31, 700))]
+    counts = spark.createDataFrame(rows, "h long, c long, k int").cache()
+    for words, classes in ((700, 1), (64, 10), (32, 20), (1, 30)):
+        monkeypatch.setattr(hmm, "CLASSES", 30)
+        book = hmm.symbols(counts, 5, 20, words)
+        assert len(book.tail_words) == classes and book.tail_words.sum() == 680 and book.tokens == sum(r[1] for r in rows) + 5
+        code = book.coded(np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[2] for r in rows]))
+        assert sorted(code[code < book.tail]) == list(range(20)) and (np.bincount(code[code >= 20] - 20, minlength=classes) == book.tail_words).all()
+        weights = np.bincount(code, weights=[r[1] for r in rows], minlength=book.end)
+        assert (weights[:20] == book.counts).all() and (weights[20:] == book.tail_tokens).all()
+
+
+def test_hmm_scores_against_brute_force(spark, monkeypatch):
+    """The scores of whole texts: states emit head words or classes, and a class draws its word by its own count."""
+    from collections import Counter
+
+    models, train = [], hmm.trained
+    monkeypatch.setattr(hmm, "trained", lambda *a: models.append((train(*a), a[1])) or models[-1][0])
+    random.seed(8)
+    texts = [" ".join(random.choice("abcdefgh") * random.randint(1, 5) for _ in range(random.randint(0, 30))) for _ in range(30)] + ["new words only", ""]
+    docs = spark.createDataFrame([(i, t, i % 5 == 1 or i >= 30) for i, t in enumerate(texts)], "doc_id int, text string, held_out boolean")
+    rows = hmm.scored(docs, head=6, states=3, class_words=4).orderBy("doc_id").collect()
+    model, book = models[0]
+    counts = Counter(w for i, t in enumerate(texts) if not (i % 5 == 1 or i >= 30) for w in t.split())
+    known = sorted({w for t in texts for w in t.split()})
+    words = Words(*text_bytes(pa.array([" ".join(known)])))
+    symbol = dict(zip(known, book.coded(words.hash, hmm.endings(words)).tolist()))
+    assert len(book.tail_words) > 2
+    for t, r in zip(texts, rows):
+        seq = [symbol[w] for w in t.split()] + [book.end]
+        drawn = sum(math.log10((counts[w] + 0.5) / book.tail_mass[symbol[w] - book.tail]) for w in t.split() if symbol[w] >= book.tail)
+        assert r["score"] == pytest.approx(brute_likelihood(model, seq) / math.log(10) + drawn, abs=1e-6)
 
 
 def test_markov_model_sums_to_one():
