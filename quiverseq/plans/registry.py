@@ -151,8 +151,8 @@ def defline_split(spark, sf_dir):
 
 
 def expect_format(spark, sf_dir):
-    """The E-value ladder over values spread by part prices."""
-    value = F.pow(F.lit(10.0), (F.col("p_partkey") % 210 - 205).cast("double")) * (F.col("p_size") + 1)
+    """The E-value ladder over values spread by part keys; powers are read as decimals, which any engine rounds alike."""
+    value = F.concat(F.lit("1e"), (F.col("p_partkey") % 210 - 205).cast("string")).cast("double") * (F.col("p_size") + 1)
     return _table(spark, sf_dir, "part").select("p_partkey", report.expect_text(value).alias("expect"))
 
 
@@ -434,6 +434,12 @@ adj AS (
         "alignment_endpoints_hinted": dp_ends + ", b AS (SELECT *, max(h) OVER (PARTITION BY qno, seqno) AS top FROM dp), r AS (SELECT *, row_number() OVER (PARTITION BY qno, seqno ORDER BY j, i) AS k FROM b WHERE h = top AND h > 0) SELECT qno, seqno, h::BIGINT AS score, (i - 1)::INT AS q_end, (j - 1)::INT AS d_end FROM r WHERE k = 1",
         "alignment_endpoints_unhinted": dp_ends + ", b AS (SELECT *, max(h) OVER (PARTITION BY qno, seqno) AS top FROM dp), r AS (SELECT *, row_number() OVER (PARTITION BY qno, seqno ORDER BY i, j) AS k FROM b WHERE h = top AND h > 0) SELECT qno, seqno, h::BIGINT AS score, (i - 1)::INT AS q_end, (j - 1)::INT AS d_end FROM r WHERE k = 1",
         "alignment_rescore": dp_aa + top + "SELECT qno, seqno, score FROM tk WHERE rn <= 10",
+        "expect_format": """WITH v AS (SELECT p_partkey, ('1e' || (p_partkey % 210 - 205))::DOUBLE * (p_size + 1) AS e FROM part)
+            SELECT p_partkey, CASE WHEN e < 1e-180 THEN '0.0  ' WHEN e < 9.5e-100 THEN rpad(substr(printf('%.0e', e), 2), 5, ' ') WHEN e < 0.00095 THEN rpad(printf('%.0e', e), 5, ' ')
+              WHEN e < 0.0995 THEN rpad(printf('%.3f', e), 5, ' ') WHEN e < 0.95 THEN rpad(printf('%.2f', e), 5, ' ') WHEN e < 9.5 THEN rpad(printf('%.1f', e), 5, ' ') ELSE printf('%5.0f', e) END AS expect FROM v""",
+        # With as many volumes as workers, splitting the widest until none exceeds the limit gives each its own quotient.
+        "chunk_plan": """WITH v AS (SELECT source, count(*) AS n FROM documents GROUP BY source), t AS (SELECT sum(n) AS total FROM v)
+            SELECT source, n AS sequences, ceil(n / (16 * CASE WHEN total >= 256 THEN floor(sqrt(total // 64)) ELSE 1 END))::INT AS chunks FROM v, t""",
         "genetic_codes": "SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(*line.split()) for line in _CODES.split("\n") if line) + ") t(code, acids)",
     }
 

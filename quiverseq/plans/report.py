@@ -45,7 +45,7 @@ def expect_text(e: Column) -> Column:
     # The bounds between the forms.
     return (
         F.when(e < 1e-180, F.lit("0.0  ")).when(e < 9.5e-100, F.rpad(F.substring(power, 2, 9), 5, " ")).when(e < 0.00095, F.rpad(power, 5, " "))
-        .when(e < 0.0995, short(3)).when(e < 0.95, short(2)).when(e < 9.5, short(1)).otherwise(F.lpad(printed("%.0f", e), 5, " "))
+        .when(e < 0.0995, short(3)).when(e < 0.95, short(2)).when(e < 9.5, short(1)).otherwise(printed("%5.0f", e))
     )
 
 

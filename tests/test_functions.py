@@ -88,3 +88,11 @@ def test_defline_split(spark):
     row = spark.createDataFrame([("gi|7|gb|A.1|N some title",), ("plain title",)], "d string").select(report.defline_split(F.col("d")).alias("x")).collect()
     assert tuple(row[0]["x"]) == ("7", "gb|A.1|N", "some title")
     assert tuple(row[1]["x"]) == ("", "plain", "title")
+
+
+def test_expect_text_never_cuts_wide_values(spark):
+    from quiverseq.plans.report import expect_text
+
+    values = {0.0: "0.0  ", 3e-150: "e-150", 2e-7: "2e-07", 0.0625: "0.062", 0.5: "0.50 ", 2.25: "2.2  ", 12.0: "   12", 510000.0: "510000"}
+    rows = spark.createDataFrame([(e,) for e in values], "e double")
+    assert {r["e"]: r["text"] for r in rows.select("e", expect_text(rows["e"]).alias("text")).collect()} == values
