@@ -39,8 +39,8 @@ CLASS_WORDS, CLASSES, ENDING = 64, (1 << 15) - 2, 3
 LONG, CHUNK = 4096, 256
 #: Training has settled when two iterations in a row gain less than so many nats a token.
 SETTLED = 1e-4
-#: Lanes that are worked off side by side, and symbols that a worker gathers for them.
-LANES, BATCH = 1024, 1 << 20
+#: Lanes that are worked off side by side, symbols that a worker gathers for them, and symbols whose emissions it adds up at once.
+LANES, BATCH, PART = 2048, 1 << 21, 1 << 18
 #: What a place in a lane begins.
 TEXT, LATER = 1, 2
 #: Pseudo-tokens of unigram mass in each state's emissions, besides one for each symbol that the state emits.
@@ -254,53 +254,75 @@ def windows(syms: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, marks
 
 
-def expected(model: Hmm, rows: np.ndarray, marks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Forward-backward over lanes: expected first states, moves, emissions (size x K), and the log-likelihood."""
-    k = len(model.start)
-    move, one = model.move.astype(np.float32), np.ones((k, 1), np.float32)
-    back = np.ascontiguousarray(move.T)
-    begin = np.stack([model.start, model.rest]).astype(np.float32)
-    emit = np.vstack([model.emit, np.ones((1, k))]).astype(np.float32)  # padding says nothing
-    first, pairs, seen, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((size + 1, k)), 0.0
-    for low in range(0, len(rows), LANES):
-        sym, mark = np.ascontiguousarray(rows[low : low + LANES].T), np.ascontiguousarray(marks[low : low + LANES].T)
-        steps, lanes = sym.shape
+class Counts:
+    """What forward-backward over lanes adds up: expected first states, moves, emissions (K x size), and the log-likelihood.
+
+    States come before lanes in memory, so that steps run along lanes; emissions are gathered by symbol, a row each.
+    """
+
+    def __init__(self, model: Hmm, size: int):
+        k = len(model.start)
+        self.model, self.size = model, size
+        self.first, self.pairs, self.seen, self.likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((k, size + 1)), 0.0
+        self.begin = np.stack([model.start, model.rest], axis=1).astype(np.float32)
+        self.emit = np.ones((size + 1, k), np.float32)  # padding says nothing
+        self.emit[:size] = model.emit
+        self.room = np.empty(0, np.float32)
+
+    def add(self, rows: np.ndarray, marks: np.ndarray) -> None:
+        for low in range(0, len(rows), LANES):
+            self._add(np.ascontiguousarray(rows[low : low + LANES].T), np.ascontiguousarray(marks[low : low + LANES].T))
+
+    def _add(self, sym: np.ndarray, mark: np.ndarray) -> None:
+        k, (steps, lanes), size, emit = len(self.first), sym.shape, self.size, self.emit
+        move, ones = self.model.move.astype(np.float32), np.ones((1, k), np.float32)
+        into = np.ascontiguousarray(move.T)
         step, lane = np.nonzero(mark)
         kind, edge = mark[step, lane] - TEXT, np.searchsorted(step, np.arange(steps + 1)).tolist()
-        said = emit.take(sym.ravel(), axis=0).reshape(steps, lanes, k)
-        alpha, scale = np.empty((steps, lanes, k), np.float32), np.empty((steps, lanes, 1), np.float32)
+        if len(self.room) < steps * k * lanes:
+            self.room = np.empty(steps * k * lanes, np.float32)
+        alpha, scale = self.room[: steps * k * lanes].reshape(steps, k, lanes), np.empty((steps, 1, lanes), np.float32)
         for t in range(steps):
-            now = np.matmul(alpha[t - 1], move, out=alpha[t]) if t else alpha[0]
-            new = slice(edge[t], edge[t + 1])
+            now = np.matmul(into, alpha[t - 1], out=alpha[t]) if t else alpha[0]
             if edge[t] < edge[t + 1]:
-                now[lane[new]] = begin[kind[new]]
-            now *= said[t]
-            now /= np.matmul(now, one, out=scale[t])
-        likelihood += float(np.log(scale).sum(dtype=float))
-        said /= scale
+                new = slice(edge[t], edge[t + 1])
+                now[:, lane[new]] = self.begin[:, kind[new]]
+            now *= emit.take(sym[t], axis=0).T
+            now /= np.matmul(ones, now, out=scale[t])
+        self.likelihood += float(np.log(scale).sum(dtype=float))
         inside = sym < size
         whole = inside.all(axis=1).tolist()
-        beta = np.ones((lanes, k), np.float32)
+        pairs, beta, ahead = np.zeros((k, k)), np.ones((k, lanes), np.float32), np.empty((k, lanes), np.float32)
         for t in range(steps - 2, -1, -1):
-            ahead = np.multiply(beta, said[t + 1], out=said[t + 1])
+            np.multiply(beta, emit.take(sym[t + 1], axis=0).T, out=ahead)
+            ahead /= scale[t + 1]
             new = lane[edge[t + 1] : edge[t + 2]]
             if len(new):
-                ahead[new] = 0
-            pairs += (alpha[t].T @ (ahead if whole[t + 1] else ahead * inside[t + 1][:, None])) * move
-            np.matmul(ahead, back, out=beta)
+                ahead[:, new] = 0
+            pairs += alpha[t] @ (ahead if whole[t + 1] else ahead * inside[t + 1]).T
+            np.matmul(move, ahead, out=beta)
             if len(new):
-                beta[new] = 1
+                beta[:, new] = 1
             alpha[t] *= beta
             if not t % 16:  # single precision drifts
-                total = np.matmul(alpha[t], one)
+                total = np.matmul(ones, alpha[t])
                 alpha[t] /= total
                 beta /= total
+        self.pairs += pairs * move
         leads = kind == 0
-        first += alpha[step[leads], lane[leads]].sum(axis=0, dtype=float)
-        flat, by_state = sym.ravel(), alpha.reshape(-1, k)
-        for state in range(k):
-            seen[:, state] += np.bincount(flat, weights=by_state[:, state], minlength=size + 1)
-    return first, pairs, seen[:size], likelihood
+        self.first += alpha[step[leads], :, lane[leads]].sum(axis=0, dtype=float)
+        for low in range(0, steps, -(-PART // lanes)):
+            part = slice(low, low + -(-PART // lanes))
+            flat = sym[part].ravel().astype(np.intp)
+            for state in range(k):
+                self.seen[state] += np.bincount(flat, weights=alpha[part, state].ravel(), minlength=size + 1)
+
+
+def expected(model: Hmm, rows: np.ndarray, marks: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Counts of these lanes alone: first states, moves, emissions (size x K), and the log-likelihood."""
+    counts = Counts(model, size)
+    counts.add(rows, marks)
+    return counts.first, counts.pairs, counts.seen[:, :size].T, counts.likelihood
 
 
 def _counts_over(encoded: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -314,26 +336,20 @@ def _counts_over(encoded: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray,
     shared = sc.broadcast(model)  # size x K numbers, size <= HEAD + CLASSES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, pairs, seen, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), np.zeros(k)
-        held, weight = [], 0
-
-        def add() -> None:
-            f, p, s, value = expected(shared.value, *windows(held, size), size)
-            np.add(first, f, out=first), np.add(pairs, p, out=pairs), np.add(seen, s, out=seen)
-            likelihood[0] += value
-
+        counts, held, weight = Counts(shared.value, size), [], 0
         for batch in batches:
             for value in batch.column("syms"):
                 held.append(np.frombuffer(value.as_buffer(), np.uint16))
                 weight += len(held[-1])
                 if weight > BATCH:
-                    add()
+                    counts.add(*windows(held, size))
                     held, weight = [], 0
         if held:
-            add()
+            counts.add(*windows(held, size))
+        seen, likelihood = counts.seen[:, :size].T, np.full(k, counts.likelihood)
         used = np.flatnonzero(seen.sum(axis=1) > 0)
         keys = np.concatenate([used, [-1], -2 - np.arange(k + 1)]).astype(np.int32)
-        values = np.vstack([seen[used], first[None], pairs, likelihood[None]])
+        values = np.vstack([seen[used], counts.first[None], counts.pairs, likelihood[None]])
         yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(values[:, i]) for i in range(k)]], ["sym", *[f"s{i}" for i in range(k)]])
 
     rows = encoded.where("not held_out").select("syms").coalesce(sc.defaultParallelism).mapInArrow(run, "sym int, " + ", ".join(f"s{i} double" for i in range(k)))
