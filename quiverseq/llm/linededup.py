@@ -15,11 +15,8 @@ alone repeat are the matter of lost_passages, which the pipeline applies once ne
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from .common import WORD, boxed, table, unboxed, written
 
@@ -50,15 +47,12 @@ def boilerplate(lines: DataFrame, min_sites: int = 8) -> DataFrame:
     return sure.unionByName(near.join(exact, ["h", "g"]).where(F.col("exact") >= min_sites).select("h", "g", "keeper"))
 
 
-@pandas_udf(StringType())
-def _without(texts: pd.Series, lost: pd.Series) -> pd.Series:
-    out = []
-    for text, places in zip(texts, lost):
-        if text is not None and places is not None and len(places):
-            gone = set(places.tolist())
-            text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
-        out.append(text)
-    return pd.Series(out, dtype=object)
+def _without(text: Column, lost: Column) -> Column:
+    """text less its lines at the lost places, in time linear in both; the lambda's variable holds the lines once split."""
+    lines = F.split(text, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+    joined = F.transform(F.array(F.struct(lines.alias("lines"), kept.alias("kept"))), lambda x: F.array_join(F.transform(x["kept"], lambda i: x["lines"][i]), "\n"))[0]
+    return F.when(F.size(lost) > 0, joined).otherwise(text)
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 8) -> DataFrame:
@@ -70,7 +64,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", min_sites: int = 8) -> Da
     used = ["doc_id", "text"]
     joined = boxed(docs, used).withColumn("_key", _key()).join(per, F.col("_key") == F.col("key"), "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    counted = joined.withColumns({"n_lines": n_lines, "n_removed": F.coalesce(F.size("lost"), F.lit(0)).cast("long")}).withColumn("text", _without("text", "lost"))
+    counted = joined.withColumns({"n_lines": n_lines, "n_removed": F.coalesce(F.size("lost"), F.lit(0)).cast("long")}).withColumn("text", _without(F.col("text"), F.col("lost")))
     return counted.select(*unboxed(counted, [c for c in docs.columns if c not in ("n_lines", "n_removed")], used), "n_lines", "n_removed")
 
 
