@@ -3,6 +3,9 @@
 Queries are few: their frames reach the driver, behind a check of their total size, and are broadcast. The database
 is scanned once, filtered before the kernel; each task keeps the best K hits of each query and emits no more, so the
 one shuffle (the final ranking) carries at most tasks x queries x K rows. Sequences are fetched again for shown hits alone.
+
+Where only hits are asked for, a first scan looks for sequences with the highest score that a query can have at all. A
+query with K of them needs no dynamic programming, since no other sequence can be among its hits.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from quiverseq.functions import stats
 from quiverseq.functions.alphabets import DIFFERENCES, encode, residues, reverse_complement, translated
 from quiverseq.functions.matrices import matrix, nucleotide_matrix
 from quiverseq.operators.alignment import Scoring, align, rescored, statistics, text_lines
+from quiverseq.operators.ceilings import ceiling, reaching
 from quiverseq.operators.kernels import batch_scores
 from quiverseq.plans.store import discarded, stored
 
@@ -27,6 +31,8 @@ PROGRAMS = ("blastn", "blastp", "blastx", "tblastn", "tblastx", "sound")
 #: Residues of all query frames together that are broadcast at most; split larger query sets over several searches.
 MOST_QUERY = 50_000_000
 HIT = "qno int, seqno long, qstrand int, qframe int, dstrand int, dframe int, score long"
+#: Residues that are searched for ceilings at once.
+SLICE = 1 << 21
 RANKING = ("score desc", "seqno desc", "qstrand", "qframe", "dstrand", "dframe")
 
 
@@ -195,6 +201,39 @@ def scores(frames: list, db: DataFrame, limits: dict, keep: int, options: Option
     return rows.mapInArrow(run, HIT + ", total long, obvious long")
 
 
+def ceiling_hits(frames: list, ceilings: list, db: DataFrame, keep: int, options: Options) -> DataFrame:
+    """HIT rows of the frames' ceilings: for each query the first keep rows of a task in the order of hits."""
+    s = options.scoring()
+    shared = db.sparkSession.sparkContext.broadcast(({i: c for i, c in enumerate(ceilings)}, [(r["qno"], r["qstrand"], r["qframe"]) for r in frames]))
+    minus = options.program == "blastn"
+    names = [f.split()[0] for f in HIT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops, owners = shared.value
+        best: dict[int, np.ndarray] = {}
+        for batch in batches:
+            sequences = [encode(x or "", options.kind) for x in batch.column("residues").to_pylist()]
+            place = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("seqno", "dstrand", "dframe")])
+            ends = np.cumsum([len(x) for x in sequences])
+            low = 0
+            while low < len(sequences):
+                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE, "right")))
+                for i, at in reaching(tops, sequences[low:high], s.scores):
+                    qno, qstrand, qframe = owners[i]
+                    seqno, dstrand, dframe = place[:, low + at]
+                    n = len(at)
+                    turned = np.full(n, qstrand)
+                    more = np.stack([seqno, np.zeros(n, np.int64) if minus else turned, np.full(n, qframe), turned if minus else dstrand, dframe, np.full(n, tops[i].score)])
+                    merged = np.concatenate([best[qno], more], axis=1) if qno in best else more
+                    best[qno] = merged[:, np.lexsort((merged[4], merged[3], merged[2], merged[1], -merged[0]))[:keep]]
+                low = high
+        kinds = [pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.int64()]
+        for qno, rows in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([np.full(rows.shape[1], qno), *rows], kinds)], names)
+
+    return _spread(db_frames(db, options).select("seqno", "dstrand", "dframe", "residues")).mapInArrow(run, HIT)
+
+
 @dataclass
 class Search:
     """A prepared search: queries (qno, description, residues) against db (seqno, residues, and what else it has).
@@ -216,7 +255,7 @@ class Search:
         self.frames = frames.collect()  # MOST_QUERY symbols at most
         self.limits = bounds(sorted({(r["qno"], r["nt_length"]) for r in self.frames}), self.sequences, self.symbols, self.options)
         self.keep = max(self.options.descriptions, self.options.alignments)
-        self._scored = None
+        self._scored, self._found, self._certain, self._settled = None, None, None, None
 
     def scored(self) -> DataFrame:
         """The kernel's rows, stored: hits and counters are read from them without scoring twice."""
@@ -224,17 +263,48 @@ class Search:
             self._scored = stored(scores(self.frames, self.db, self.limits, self.keep, self.options), "scores")
         return self._scored
 
+    def ceilings(self) -> tuple[list, list]:
+        """Frames that can have the highest score of their query, and their ceilings; no frame of a query without one."""
+        s, out = self.options.scoring(), {}
+        for r in self.frames:
+            c = ceiling(encode(r["residues"], self.options.kind), s.scores, s.gap_open, s.gap_extend)
+            out.setdefault(r["qno"], []).append((r, c))
+        rows = []
+        for qno, pairs in out.items():
+            low, high, _ = self.limits[qno]
+            if all(c for _, c in pairs) and low <= (top := max(c.score for _, c in pairs)) and (high is None or top <= high):
+                rows += [(r, c) for r, c in pairs if c.score == top]
+        return [r for r, _ in rows], [c for _, c in rows]
+
+    def found(self) -> DataFrame:
+        """HIT rows, stored, with all hits that rank up to keep; scored() has them too, but must score every pair."""
+        if self._scored is not None:
+            return self._scored.where("score is not null").drop("total", "obvious")
+        if self._found is None:
+            settled: set = set()
+            frames, tops = self.ceilings()
+            if frames:
+                self._certain = stored(ceiling_hits(frames, tops, self.db, self.keep, self.options), "ceilings")
+                settled = {r["qno"] for r in self._certain.groupBy("qno").count().where(F.col("count") >= self.keep).collect()}  # a row per query
+            rest = [r for r in self.frames if r["qno"] not in settled]
+            self._found = stored(scores(rest, self.db, self.limits, self.keep, self.options).where("score is not null").drop("total", "obvious"), "found")
+            if settled:
+                known = self._certain.sparkSession.createDataFrame([(q,) for q in settled], "qno int")
+                self._settled = self._certain.join(F.broadcast(known), "qno", "left_semi")  # a row per query
+        return self._found.unionByName(self._settled) if self._settled is not None else self._found
+
     def hits(self) -> DataFrame:
         """The best hits of each query: HIT and rn, in the total order of score, seqno, strands and frames."""
         ranked = Window.partitionBy("qno").orderBy(F.desc("score"), F.desc("seqno"), "qstrand", "qframe", "dstrand", "dframe")
-        found = self.scored().where("score is not null").drop("total", "obvious")
+        found = self.found()
         return self.with_statistics(found.withColumn("rn", F.row_number().over(ranked)).where(F.col("rn") <= self.keep))
 
     def close(self) -> None:
         """Discards the stored rows; what hits() and alignments() returned must be consumed before."""
-        if self._scored is not None:
-            discarded(self._scored)
-            self._scored = None
+        for rows in (self._scored, self._found, self._certain):
+            if rows is not None:
+                discarded(rows)
+        self._scored, self._found, self._certain, self._settled = None, None, None, None
 
     def counts(self) -> DataFrame:
         """Per query: total_hits (scores from the lower bound on) and obvious_hits (above the upper bound)."""
@@ -276,7 +346,7 @@ class Search:
                 for r in batch.to_pylist():
                     q = plus[r["qno"]] if o.program == "blastn" else queries[r["qno"], r["qstrand"], r["qframe"]][0]
                     d = encode(r["residues"], o.kind)
-                    found = align(q, d, s, hinted)
+                    found = align(q, d, s, hinted, r["score"])
                     counts = statistics(found, q, d, s.scores)
                     lines = text_lines(found, q, d, s.scores, symbols)
                     rows.append((found.q_start, found.q_end, found.d_start, found.d_end, found.script, *(counts[n] for n in ("identities", "positives", "indels", "gaps", "aligned")), rescored(found, q, d, s), *lines))
