@@ -43,6 +43,8 @@ SETTLED = 1e-4
 LANES, BATCH, PART = 2048, 1 << 21, 1 << 18
 #: What a place in a lane begins.
 TEXT, LATER = 1, 2
+#: Shares of a symbol's count below this are beyond the single precision in which they are added up.
+EPSILON = 2.0**-23
 #: Pseudo-tokens of unigram mass in each state's emissions, besides one for each symbol that the state emits.
 PRIOR = 20.0
 
@@ -325,6 +327,14 @@ def expected(model: Hmm, rows: np.ndarray, marks: np.ndarray, size: int) -> tupl
     return counts.first, counts.pairs, counts.seen[:, :size].T, counts.likelihood
 
 
+def shipped(seen: np.ndarray) -> np.ndarray:
+    """Expected counts as the shuffle gets them: in single precision, zero where a state's share of its symbol is below that.
+
+    Most symbols belong to few states, so most of what is sent are zeros, and these take next to no room.
+    """
+    return np.where(seen < EPSILON * seen.sum(axis=1, keepdims=True), 0, seen).astype(np.float32).astype(float)
+
+
 def _counts_over(encoded: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """One expectation step over all training rows: (first, moves, emissions, log-likelihood), summed by Spark per symbol.
 
@@ -349,23 +359,24 @@ def _counts_over(encoded: DataFrame, model: Hmm, size: int) -> tuple[np.ndarray,
         seen, likelihood = counts.seen[:, :size].T, np.full(k, counts.likelihood)
         used = np.flatnonzero(seen.sum(axis=1) > 0)
         keys = np.concatenate([used, [-1], -2 - np.arange(k + 1)]).astype(np.int32)
-        values = np.vstack([seen[used], counts.first[None], counts.pairs, likelihood[None]])
+        values = np.vstack([shipped(seen[used]), counts.first[None], counts.pairs, likelihood[None]])
         yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(values[:, i]) for i in range(k)]], ["sym", *[f"s{i}" for i in range(k)]])
 
     rows = encoded.where("not held_out").select("syms").coalesce(sc.defaultParallelism).mapInArrow(run, "sym int, " + ", ".join(f"s{i} double" for i in range(k)))
-    summed = rows.groupBy("sym").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).toArrow()  # size + K + 2 rows at most
+    sums = rows.groupBy("sym").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
+    summed = sums.select("sym", *[F.col(f"s{i}").cast("float").alias(f"s{i}") for i in range(k)], F.when(F.col("sym") == -2 - k, F.col("s0")).alias("whole")).toArrow()  # size + K + 2 rows at most
     shared.destroy()
     keys = summed.column("sym").to_numpy()
-    values = np.stack([summed.column(f"s{i}").to_numpy() for i in range(k)], axis=1) if len(keys) else np.zeros((0, k))
+    values = np.stack([summed.column(f"s{i}").to_numpy().astype(float) for i in range(k)], axis=1) if len(keys) else np.zeros((0, k))
     first, pairs, seen, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0
     seen[keys[keys >= 0]] = values[keys >= 0]
-    for key, value in zip(keys, values):
-        if key == -1:
-            first = value
-        elif key == -2 - k:
-            likelihood = float(value[0])
-        elif key < -1:
-            pairs[-2 - key] = value
+    for at in np.flatnonzero(keys < 0).tolist():
+        if keys[at] == -1:
+            first = values[at]
+        elif keys[at] == -2 - k:
+            likelihood = summed.column("whole")[at].as_py()
+        else:
+            pairs[-2 - keys[at]] = values[at]
     return first, pairs, seen, likelihood
 
 

@@ -403,3 +403,21 @@ def test_only_low_grades_still_keep_the_better_ones(spark):
     model = quality.trained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, grade int"))
     rows = quality.rated(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()
     assert {r["doc_id"] for r in rows if r["keep"]} == set(range(1, 60, 2))
+
+
+def test_shuffled_counts_keep_single_precision_and_the_likelihood_more(spark):
+    rng = np.random.default_rng(17)
+    seen = rng.gamma(0.02, size=(500, 8)) * 1e6
+    sent = hmm.shipped(seen)
+    total = seen.sum(axis=1, keepdims=True)
+    small = seen < hmm.EPSILON * total
+    assert small.mean() > 0.3 and (sent[small] == 0).all() and (sent[~small] > 0).all()
+    assert (abs(sent - seen) <= hmm.EPSILON * total).all()
+    texts = [np.append(rng.integers(0, 40, 60), 40).astype(np.uint16) for _ in range(30)]
+    model = hmm.random_start(np.full(41, 1 / 41), states=3)
+    rows = spark.createDataFrame([(t.tobytes(), False) for t in texts], "syms binary, held_out boolean").repartition(5)
+    first, pairs, emitted, likelihood = hmm._counts_over(rows, model, 41)
+    expected = hmm.expected(model, *hmm.windows(texts, 41), 41)
+    for got, wanted in zip((first, pairs, emitted), expected):
+        assert np.allclose(got, wanted, rtol=1e-5, atol=1e-5)
+    assert abs(likelihood - expected[3]) < 1e-5 * abs(likelihood) and likelihood != float(np.float32(likelihood))
